@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, minhash
+from quillspark.llm import decontaminate, linededup, minhash, telephony, urlrules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"), F.array_join("deleted", ",").alias("deleted_lines"), F.array_join("partners", ",").alias("partners"), F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -19,5 +25,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_minhash": op2_minhash, "op7_decontamination": op7_decontamination}
-ORACLES = {"op7_decontamination": decontaminate.ORACLE}
+def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.audio_columns(_read(spark, sf_dir, "documents"), keep=False)
+
+
+def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge_urls(_read(spark, sf_dir, "pages"), urlrules.RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_linededup, op2_minhash, op4_telephony, op7_decontamination, op10_urlrules)}
+ORACLES = {"op7_decontamination": decontaminate.ORACLE, "op10_urlrules": urlrules.ORACLE}
