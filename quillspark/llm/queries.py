@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, linededup, minhash, telephony, urlrules
+from quillspark.llm import decontaminate, langid, linededup, minhash, pieces, telephony, tokencount, urlrules
+
+#: Vocabulary files of public tokenizers; read on the driver, never copied into the repository.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+WORDPIECES = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,9 +33,23 @@ def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.audio_columns(_read(spark, sf_dir, "documents"), keep=False)
 
 
+def op5_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_read(spark, sf_dir, "documents"), tokencount.load_ranks(WORDPIECES))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_read(spark, sf_dir, "documents"), pieces.PieceModel.load(PIECES), keep=False)
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(_read(spark, sf_dir, "pages"), urlrules.RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_linededup, op2_minhash, op4_telephony, op7_decontamination, op10_urlrules)}
+QUERIES = {f.__name__: f for f in (op1_linededup, op2_minhash, op4_telephony, op5_tokencount, op7_decontamination, op8_langid, op9_pieces, op10_urlrules)}
 ORACLES = {"op7_decontamination": decontaminate.ORACLE, "op10_urlrules": urlrules.ORACLE}

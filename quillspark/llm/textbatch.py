@@ -121,3 +121,18 @@ def shingles(words: np.ndarray, owner: np.ndarray, n_texts: int, size: int) -> t
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
     return h[first], o[first]
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of one span for each distinct content, and for every span which of them it equals."""
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.int64)
+    _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    return starts[first], ends[first], which
+
+
+def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions starts[i], starts[i] + 1, ... of counts[i] each, one run after another."""
+    total = int(counts.sum())
+    skip = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    return np.arange(total, dtype=np.int64) + skip
