@@ -23,8 +23,10 @@ from quillspark.llm import textbatch as tb
 from quillspark.llm.components import components
 from quillspark.llm.scratch import Scratch
 
-BANDS, ROWS, BITS = 32, 6, 4
-#: An estimate this far below the threshold is six standard deviations away at 192 minima.
+BANDS, BITS = 32, 4
+#: A pair just at the threshold shares no band with this probability at most.
+MISS = 1e-5
+#: An estimate this far below the threshold is more than four standard deviations away at 128 minima.
 SLACK = 0.15
 #: Nodes up to which a mixed bucket's pairs are compared one by one, and nodes in a block of a larger bucket. Both ways are exact.
 SMALL, BLOCK = 32, 512
@@ -161,13 +163,13 @@ def estimate(a: Column, b: Column, k: int, bits: int) -> Column:
     return (equal - 2.0**-bits) / (1 - 2.0**-bits)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, bits: int = BITS) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) as (doc_id, n_shingles, component_id, kept).
 
     Texts are linked when 100 * |A and B| >= ``percent`` * |A or B| over their sets of distinct ``size``-word shingles
     (A-Z lower-cased, words split at white space of ASCII). component_id is the smallest doc_id reachable over links,
-    kept tells whether it is the row's own. A pair at the threshold 0.85 is missed by the bands with a probability of
-    3e-7, and by the estimate with one of 1e-8.
+    kept tells whether it is the row's own. A pair at the threshold shares no band with a probability under ``MISS``:
+    the rows of a band are as many as that allows (6 at 0.85, 5 at 0.8).
 
     * null or empty text, or no word: n_shingles 0, linked with nothing, component_id its own doc_id, kept;
     * fewer words than ``size``: the whole sequence is the one shingle;
@@ -177,6 +179,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     """
     if bits not in (1, 2, 4, 8):
         raise ValueError("bits must be 1, 2, 4 or 8")
+    rows = max([1, *(r for r in range(1, 17) if (1 - (percent / 100) ** r) ** bands <= MISS)])
     scratch, k = Scratch(docs.sparkSession, "minhash"), bands * rows
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

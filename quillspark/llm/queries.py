@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, langid, linededup, minhash, pieces, telephony, tokencount, urlrules
+from quillspark.llm import decontaminate, langid, licenses, linededup, minhash, pieces, secrets, telephony, tokencount, urlrules
 
 #: Vocabulary files of public tokenizers; read on the driver, never copied into the repository.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,6 +29,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings()))
+    return found.select("doc_id", "position", "length", F.md5("value").alias("value_md5"), "score", "is_secret")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"), licenses.fit()).drop("paragraph")
+
+
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.audio_columns(_read(spark, sf_dir, "documents"), keep=False)
 
@@ -51,5 +60,11 @@ def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(_read(spark, sf_dir, "pages"), urlrules.RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_linededup, op2_minhash, op4_telephony, op5_tokencount, op7_decontamination, op8_langid, op9_pieces, op10_urlrules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the package, and a user of this module
+
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_linededup, op2_minhash, op3_secrets, op4_telephony, op5_tokencount, op6_licenses, op7_decontamination, op8_langid, op9_pieces, op10_urlrules, pipeline)}
 ORACLES = {"op7_decontamination": decontaminate.ORACLE, "op10_urlrules": urlrules.ORACLE}
