@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.scratch import Scratch
+
 #: Units that follow a number.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "hz", "khz", "w", "kw", "v", "j", "kj", "n", "pa", "mol", "percent", "usd", "eur", "dollars", "euros", "miles", "feet", "inches", "pounds", "hours", "minutes", "seconds", "days", "years", "meters", "metres", "kilometers", "kilometres", "grams", "kilograms", "litres", "liters")
 #: Windows of a benchmark up to this count are broadcast (8 bytes of hash, item, position: under 64 MB); more are joined by shuffle.
@@ -65,6 +67,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
     found = _windows(words.withColumn("size", length), ["doc_id"], F.col("size"))
     bench = F.broadcast(bench) if small else bench
     found = found.join(bench, (found.hash == bench.hash) & (found.length == bench.item_length)).select("doc_id", "item_id", found.hash.alias("hash"), "pos", "item_pos", "item_length").distinct()
+    found = Scratch(docs.sparkSession, "leaks").keep(found, "found")  # read twice below; without it, all windows are made twice
     # candidates before slots are looked at: items with enough windows somewhere in the document
     enough = found.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n")).join(F.broadcast(n_windows) if small else n_windows, "item_id").where(F.col("n") >= coverage * F.col("windows"))
     found = found.join(enough.select("doc_id", "item_id", "windows"), ["doc_id", "item_id"])
