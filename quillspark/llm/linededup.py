@@ -2,8 +2,8 @@
 common blocks are deleted from the later document.
 
 Candidate pairs grow with the lines, not with the square of a line's holders: a document is paired with the first
-holder (smallest doc_id) of each of its shared lines. As every deletion has an earlier holder of the line, the first
-holder of a line keeps it.
+holder (smallest doc_id) of each of its shared rare lines, and of each of its shared runs of lines of 50 words, however
+many documents hold them. As every deletion has an earlier holder of the line, the first holder of a line keeps it.
 """
 
 from __future__ import annotations
@@ -21,16 +21,27 @@ from pyspark.sql import functions as F
 from quillspark.llm import textbatch as tb
 from quillspark.llm.scratch import Scratch
 
-#: A line seeds a pair if at most this many documents hold it, or if it is long; in a common block one seed is enough.
+#: A line of SEED_WORDS seeds a pair if at most RARE_DF documents hold it; a run of lines with LONG_WORDS words always does.
 RARE_DF, LONG_WORDS, SEED_WORDS = 100, 50, 3
-#: Words that a common block has at least; shorter ones are left as chance.
+#: Odd base of the polynomial over line hashes that names a run, and its inverse mod 2**64.
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Words that a common block with a rare line has at least; shorter ones are left as chance.
 BLOCK_WORDS = 8
 
 
+def _numbered(lines: list[int]) -> Iterator[tuple[int, int]]:
+    """Each line with the number of its occurrence."""
+    seen: Counter = Counter()
+    for x in lines:
+        seen[x] += 1
+        yield x, seen[x]
+
+
 def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
     """Aligned positions of two sequences: lines unique on both sides anchor, between anchors the parts are aligned again.
 
-    Equal lines at both ends of a part are taken first. Linear in memory; recursion is replaced by a stack.
+    A part without such a line is anchored by the k-th occurrences of its common lines. Equal lines at both ends of a part are taken first. Linear in memory; recursion is replaced by a stack.
     """
     out, stack = [], [(0, len(left), 0, len(right))]
     while stack:
@@ -46,6 +57,9 @@ def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
         a, b = Counter(left[i:m]), Counter(right[j:n])
         at = {x: k for k, x in enumerate(right[j:n], j) if b[x] == 1}
         anchors = [(k, at[x]) for k, x in enumerate(left[i:m], i) if a[x] == 1 and x in at]
+        if not anchors and not a.keys().isdisjoint(b):
+            nth = {y: k for k, y in enumerate(_numbered(right[j:n]), j)}
+            anchors = [(k, nth[x]) for k, x in enumerate(_numbered(left[i:m]), i) if x in nth]
         # longest run of anchors that rises on both sides
         tops: list[int] = []
         piles: list[int] = []
@@ -71,15 +85,45 @@ def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(left: list[int], right: list[int], words: list[int], seeds: set[int], least: int) -> list[int]:
-    """Positions of ``left`` in runs aligned with runs of ``right`` that hold a seed and ``least`` words."""
-    found, run = [], []
-    for pair in [*patience(left, right), (-9, -9)]:
-        if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
-            if sum(words[i] for i, _ in run) >= least and any(left[i] in seeds for i, _ in run):
-                found += [i for i, _ in run]
-            run = []
-        run.append(pair)
-    return found
+    """Positions of ``left`` in runs aligned with runs of ``right`` that hold a seed and ``least`` words, or LONG_WORDS.
+
+    Found lines are taken out and the rest is aligned again until nothing is found, so blocks in another order count.
+    """
+    rest, found, theirs = list(left), [], set(right)
+    while True:
+        new, run = [], []
+        for pair in [*patience(rest, right), (-9, -9)]:
+            if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
+                n = sum(words[i] for i, _ in run)
+                if n >= LONG_WORDS or (n >= least and any(left[i] in seeds for i, _ in run)):
+                    new += [i for i, _ in run]
+                run = []
+            run.append(pair)
+        found += new
+        for i in new:
+            rest[i] = (i,)  # equal to no line
+        if not new or not any(w and x in theirs for x, w in zip(rest, words, strict=True)):
+            return sorted(found)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return out.cumprod(dtype=np.uint64)
+
+
+def _runs(hashes: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Name of the shortest run of lines from each line on that has LONG_WORDS words; 0 if its document ends before.
+
+    ``ends`` holds the end of each line's document as a line number.
+    """
+    n = len(hashes)
+    total = np.concatenate([[0], np.cumsum(words.astype(np.int64))])
+    stop = np.searchsorted(total, total[:-1] + LONG_WORDS)
+    power, inverse = _powers(BASE, n), _powers(BASE_INVERSE, n)
+    prefix = np.concatenate([np.zeros(1, np.uint64), (hashes * power).cumsum(dtype=np.uint64)])
+    ok = (words > 0) & (stop <= ends)
+    return np.where(ok, (prefix[np.minimum(stop, n)] - prefix[:-1]) * inverse, np.uint64(0))
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +142,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = tb.span_hashes(d, starts, np.maximum(starts, ends))
             w = tb.spans(~tb.SPACE[d], part)[0]
             n_words = np.searchsorted(w, ends) - np.searchsorted(w, starts)
-            h = np.where(n_words > 0, h, np.uint64(0)).view(np.int64)
+            h = np.where(n_words > 0, h, np.uint64(0))
+            runs = _runs(h, n_words, np.repeat(last + 1, counts)).view(np.int64)
+            h = h.view(np.int64)
             at = pa.array(np.concatenate([[0], last + 1]).astype(np.int32))
-            yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(h)), pa.ListArray.from_arrays(at, pa.array(n_words.astype(np.int32)))], ["doc_id", "lines", "words"])
+            yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(h)), pa.ListArray.from_arrays(at, pa.array(n_words.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(runs))], ["doc_id", "lines", "words", "runs"])
 
 
 def _align(least: int):
@@ -116,8 +162,8 @@ def dedup_lines(docs: DataFrame, rare_df: int = RARE_DF, block_words: int = BLOC
     """``docs`` with blocks deleted from ``text``, plus n_lines, n_deleted, deleted (line numbers from 0) and partners.
 
     Lines end at U+000A and are compared byte for byte by a 64-bit hash; blank lines equal each other but seed nothing.
-    Deleted is a block of consecutive lines that an earlier document has in the same order, if it holds a seed line
-    (``SEED_WORDS`` words, and held by at most ``rare_df`` documents or ``LONG_WORDS`` long) and ``block_words`` words.
+    Deleted is a block of consecutive lines that an earlier document has in the same order, if it has ``LONG_WORDS``
+    words, or ``block_words`` words and a rare line (``SEED_WORDS`` words, held by at most ``rare_df`` documents).
 
     * null text: null, no line; empty text: one empty line, nothing deleted; a text whose lines all go becomes empty;
     * null doc_id: the row stays as it is and is no partner; repeated doc_id: rows of one id are not compared with each
@@ -127,13 +173,15 @@ def dedup_lines(docs: DataFrame, rare_df: int = RARE_DF, block_words: int = BLOC
     scratch = Scratch(docs.sparkSession, "lines")
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    lined = scratch.keep(own.mapInArrow(_lines, f"doc_id {kind}, lines array<bigint>, words array<int>"), "lined")
-    one = lined.select("doc_id", F.explode(F.array_distinct(F.arrays_zip("lines", "words"))).alias("x"))
-    one = one.where(F.col("x.words") >= SEED_WORDS).select("doc_id", F.col("x.lines").alias("line"), F.col("x.words").alias("n"))
-    held = one.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"), F.count("*").alias("df"), F.max("n").alias("n"))
-    held = scratch.keep(held.where((F.col("earlier") < F.col("last")) & ((F.col("df") <= rare_df) | (F.col("n") >= LONG_WORDS))).select("line", "earlier"), "held")
-    seeds = scratch.keep(one.select("doc_id", "line").join(held, "line").where("doc_id > earlier"), "seeds")
-    pairs = scratch.keep(seeds.groupBy(F.col("doc_id").alias("later"), "earlier").agg(F.collect_set("line").alias("seeds")), "pairs")
+    lined = scratch.keep(own.mapInArrow(_lines, f"doc_id {kind}, lines array<bigint>, words array<int>, runs array<bigint>"), "lined")
+    # keys are lines, which count if they are rare, and runs, which always do
+    lines = F.transform(F.filter(F.arrays_zip("lines", "words"), lambda x: x.words >= SEED_WORDS), lambda x: F.struct(x.lines.alias("key"), F.lit(False).alias("run")))
+    runs = F.transform(F.filter("runs", lambda x: x != 0), lambda x: F.struct(x.alias("key"), F.lit(True).alias("run")))
+    one = lined.select("doc_id", F.inline(F.array_distinct(F.concat(lines, runs))))
+    held = one.groupBy("key", "run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
+    held = scratch.keep(held.where((F.col("earlier") < F.col("last")) & (F.col("run") | (F.col("df") <= rare_df))).select("key", "run", "earlier"), "held")
+    seeds = scratch.keep(one.join(held, ["key", "run"]).where("doc_id > earlier"), "seeds")
+    pairs = scratch.keep(seeds.groupBy(F.col("doc_id").alias("later"), "earlier").agg(F.collect_set(F.when(~F.col("run"), F.col("key"))).alias("seeds")), "pairs")
     lined = lined.groupBy("doc_id").agg(F.max(F.struct("lines", "words")).alias("x")).select("doc_id", "x.lines", "x.words")
     wanted = pairs.select(F.col("later").alias("doc_id")).union(pairs.select(F.col("earlier").alias("doc_id"))).distinct()
     few = scratch.keep(lined.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "few")

@@ -66,9 +66,20 @@ def brute_lines(texts):
                 held.setdefault(x, []).append(i)
     seeds = {}
     for x, ids in held.items():
-        if len(ids) > 1 and (len(ids) <= linededup.RARE_DF or len(x.split()) >= linededup.LONG_WORDS):
+        if 1 < len(ids) <= linededup.RARE_DF:
             for i in ids[1:]:
                 seeds.setdefault((i, ids[0]), set()).add(x)
+    first = {}
+    for i in sorted(lines):
+        for k, x in enumerate(lines[i]):
+            n, run = 0, []
+            for y in lines[i][k:] if x.strip() else []:
+                n, run = n + len(y.split()), [*run, y]
+                if n >= linededup.LONG_WORDS:
+                    e = first.setdefault(tuple(run), i)
+                    if e < i:
+                        seeds.setdefault((i, e), set())
+                    break
     gone = {i: set() for i in texts}
     for (i, e), s in seeds.items():
         gone[i] |= set(linededup.common_blocks(lines[i], lines[e], [len(x.split()) for x in lines[i]], s, linededup.BLOCK_WORDS))
@@ -84,6 +95,28 @@ def test_lines_equal_brute_force(docs):
         assert (sorted(gone[r.doc_id]), left[r.doc_id]) == (r.deleted, r.text)
 
 
+def test_common_passage_of_short_lines(spark):
+    """A passage of short lines that far more than RARE_DF documents hold goes from all but the first; other order, repeats."""
+    p = [f"common line number {k} of this long passage with twelve words {k}" for k in range(5)]
+    own = lambda i, n: [f"only document {i} has its own line {k} here" for k in range(n)]
+    texts = {i: "\n".join([*own(i, 2 + i % 3), *p, *own(i + 1000, 1)]) for i in range(140)}
+    q = [f"second block line {k} with some more words in it, for length {k}" for k in range(5)]
+    texts[500], texts[501] = "\n".join([*p, *own(500, 1), *q]), "\n".join([*q, *own(501, 1), *p])
+    texts[502] = "\n".join([*p, *own(502, 1), *p, *own(503, 1)])
+    got = {r.doc_id: (r.n_deleted, r.text) for r in linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[0] == (0, texts[0]) and all(got[i][0] == 5 and p[0] not in got[i][1] for i in range(1, 140))
+    assert (got[500][0], got[501], got[502][0]) == (5, (10, own(501, 1)[0]), 10)
+    gone, _ = brute_lines(texts)
+    assert all(len(gone[i]) == got[i][0] for i in texts)
+
+
+def test_blocks_in_another_order_and_repeats():
+    words = [10] * 4
+    assert linededup.common_blocks([1, 2, 3, 4], [3, 4, 1, 2], words, {1, 3}, 8) == [0, 1, 2, 3]
+    assert linededup.common_blocks([9, 1, 2, 8], [1, 2, 7, 1, 2, 6], words, {1}, 8) == [1, 2]
+    assert linededup.common_blocks([1, 2, 3, 4], [5, 6], words, {1}, 8) == []
+
+
 def test_patience():
     assert linededup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert linededup.patience([5, 1, 2, 5], [7, 1, 2, 7]) == [(1, 1), (2, 2)]
