@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import fold_queries, layout_queries, unit_queries  # noqa: F401
+from quillspark.plans import fold_queries, layout_queries, region_queries, unit_queries  # noqa: F401
 from quillspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
