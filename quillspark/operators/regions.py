@@ -153,3 +153,19 @@ def _figures(width: float, height: float):
 def figure_regions(marks: DataFrame, width: float, height: float) -> DataFrame:
     """Clusters of images and drawings (doc_id, pno, i, image, x0, y0, x1, y1) within 12 points; an image or ten drawings make one."""
     return marks.groupBy(*PAGE).applyInPandas(_figures(width, height), "doc_id long, pno int, region int, x0 double, y0 double, x1 double, y1 double")
+
+
+def caption_binding(captions: DataFrame, areas: DataFrame, gap: float = 34.0) -> DataFrame:
+    """Caption of each figure and table: (doc_id, pno, kind, region, caption), the first of those that chose it.
+
+    ``captions`` are (doc_id, pno, caption, bbox), ``areas`` (doc_id, pno, kind, region, rect) with kind figure or table. A
+    caption chooses the first figure that it stands under or in the lower part of, else the first table that it stands over
+    or in the upper part of; half of the narrower width must be shared.
+    """
+    c, r = F.col("bbox"), F.col("rect")
+    tall = r.y1 - r.y0
+    figure = ((c.y0 >= r.y1 - 6) & (c.y0 - r.y1 <= gap)) | ((c.y0 >= r.y0 + 0.55 * tall) & (c.y1 <= r.y1 + 10))
+    tabular = ((c.y1 <= r.y0 + 6) & (r.y0 - c.y1 <= gap)) | ((c.y0 >= r.y0 - 10) & (c.y1 <= r.y0 + 0.45 * tall))
+    fits = F.when(F.col("kind") == "figure", figure).otherwise(tabular) & (geom.x_overlap(c, r) >= 0.5)
+    chosen = captions.join(areas, PAGE).where(fits).groupBy(*PAGE, "caption").agg(F.min(F.struct("kind", "region")).alias("x"))
+    return chosen.groupBy(*PAGE, F.col("x.kind").alias("kind"), F.col("x.region").alias("region")).agg(F.min("caption").alias("caption"))

@@ -62,3 +62,19 @@ def region_split(spark, d):
 @query("figure_regions", "SELECT * FROM (VALUES (1::BIGINT, 0, 0, 100.0::DOUBLE, 100.0::DOUBLE, 260.0::DOUBLE, 200.0::DOUBLE)) v(doc_id, pno, region, x0, y0, x1, y1)")
 def figure_regions(spark, d):
     return regions.figure_regions(spark.createDataFrame([(1, 0, i, *m) for i, m in enumerate(MARKS)], f"doc_id long, pno int, i int, image boolean, {RECT}"), 612.0, 842.0)
+
+
+AREAS = [("figure", 0, (60, 80, 300, 180)), ("figure", 1, (54, 320, 560, 420)), ("table", 0, (54, 480, 560, 560)), ("table", 1, (320, 600, 560, 780))]
+_AREAS = ", ".join(f"('{k}', {n}, {a}.0::DOUBLE, {b}.0::DOUBLE, {c}.0::DOUBLE, {e}.0::DOUBLE)" for k, n, (a, b, c, e) in AREAS)
+
+
+@query("caption_binding", LINES_SQL + f""", a(kind, region, rx0, ry0, rx1, ry1) AS (VALUES {_AREAS}),
+f AS (SELECT doc_id, pno, pi, kind, region FROM v, a WHERE pi % 3 = 1 AND greatest(0, least(x1, rx1) - greatest(x0, rx0)) / greatest(1, least(x1 - x0, rx1 - rx0)) >= 0.5
+AND CASE WHEN kind = 'figure' THEN (y0 >= ry1 - 6 AND y0 - ry1 <= 34) OR (y0 >= ry0 + 0.55::DOUBLE * (ry1 - ry0) AND y1 <= ry1 + 10) ELSE (y1 <= ry0 + 6 AND ry0 - y1 <= 34) OR (y0 >= ry0 - 10 AND y1 <= ry0 + 0.45::DOUBLE * (ry1 - ry0)) END),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pno, pi ORDER BY kind, region) AS n FROM f)
+SELECT doc_id, pno, kind, region, min(pi) AS caption FROM g WHERE n = 1 GROUP BY 1, 2, 3, 4""")
+def caption_binding(spark, d):
+    lines = lines_of(spark, d)
+    both = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("region"), rect(*map(F.lit, r)).alias("rect")) for k, n, r in AREAS))
+    areas = lines.select(*layout.PAGE).distinct().select(*layout.PAGE, F.inline(both))
+    return regions.caption_binding(lines.where("pi % 3 = 1").select(*layout.PAGE, F.col("pi").alias("caption"), "bbox"), areas)
