@@ -67,3 +67,50 @@ def glossary_fix(text: Column, terms: list[tuple[str, str]]) -> Column:
         at = F.instr(text, k)
         text = F.when((at > 0) & ~F.contains(text, F.lit(v)), F.concat(F.substr(text, F.lit(1), at - 1), F.lit(v), F.substr(text, at + F.lit(len(k))))).otherwise(text)
     return text
+
+
+# Bullets at line starts, characters no line starts with, characters no line ends with, wide characters.
+BULLETS = "•·◦‣▪●▸‧"
+NO_START = "，。、；：？！」』）】〉》〕〗〙％‰.,;:?!)]}%·…—~"
+NO_END = "（「『【〈《〔〖〘([{‘“"
+KANA_HAN_HANGUL = "一-鿿぀-ヿ가-힯"
+WIDE = "一-鿿　-〿！-￮‘’“”…"
+
+
+def char_class(chars: str) -> str:
+    return "".join("\\" + c if c.isascii() else c for c in chars)
+
+
+def clean_text(text: Column) -> Column:
+    """One line: lines trimmed, bullets and blank lines dropped, joined by a space, or by nothing between CJK; no space inside CJK."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, rf"^[ \t\u00a0]*[{BULLETS}]*[ \t\r\f\u00a0]*", ""), r"[ \t\r\f\u00a0]+$", ""))
+    joined = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    joined = F.regexp_replace(joined, rf"(?<=[{KANA_HAN_HANGUL}{char_class(NO_START)}])\n(?=[{KANA_HAN_HANGUL}{char_class(NO_END)}])", "")
+    return F.regexp_replace(F.replace(joined, F.lit("\n"), F.lit(" ")), rf"(?<=[{WIDE}])[ \t\u00a0]+(?=[{WIDE}])", "")
+
+
+def monospaced(spans: Column, mono: str) -> Column:
+    return F.exists(spans, lambda s: s.font.rlike(f"(?i){mono}|courier|consol"))
+
+
+def bold_share(spans: Column) -> Column:
+    """Share of the characters of spans (text, font, flags) that are bold; empty spans weigh one."""
+    weight = lambda s: F.greatest(F.length(s.text), F.lit(1))
+    bold = lambda s: s.font.rlike("(?i)CMBX|Bold|-B$|Hei|MT-B") | (s.flags.bitwiseAND(16) > 0)
+    total = lambda keep: F.aggregate(F.filter(spans, keep), F.lit(0), lambda a, s: a + weight(s))
+    return F.try_divide(total(bold), total(lambda s: F.lit(True)))
+
+
+def algorithm_body(text: Column, spans: Column) -> Column:
+    """A numbered algorithm of several lines, monospaced or with input, for and do."""
+    low = F.lower(text)
+    several = F.contains(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"))
+    typical = F.contains(F.substr(low, F.lit(1), F.lit(80)), F.lit("input")) & F.contains(low, F.lit("for")) & F.contains(low, F.lit("do"))
+    return text.rlike(r"^\s*Algorithm\s+\d+\s*:") & several & (monospaced(spans, r"mono|mon\b") | typical)
+
+
+def algorithm_rest(text: Column, spans: Column) -> Column:
+    """A loose line of an algorithm: keyword at its start unless bold, formula fragment, monospaced, or numbered; 200 characters at most."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    keyword = t.rlike(r"^(Break out of|End (for|while|if)|(for|if|while|return)\s|else\b|Sample\b|Initialise\b)") & ~(F.coalesce(bold_share(spans), F.lit(0.0)) >= 0.5)
+    return (F.length(t) <= 200) & (keyword | math_fragment(t) | monospaced(spans, "mon") | t.rlike(r"^\d+\s*[%\s]|^%\s"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ def snapshot(events: DataFrame, keep: int = 40) -> DataFrame:
     return events.groupBy("job").agg(
         F.max_by("kind", "event_id").alias("status"),
         F.count("*").alias("n_events"),
-        F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("kind") == "error", F.struct("event_id", "msg"))), False), 1, keep), lambda x: x.msg.cast("string")), ",").alias("warnings"),
+        F.array_join(F.transform(F.reverse(F.slice(F.sort_array(F.collect_list(F.when(F.col("kind") == "error", F.struct("event_id", "msg"))), False), 1, keep)), lambda x: x.msg.cast("string")), ",").alias("warnings"),
     )
 
 
@@ -33,9 +36,32 @@ def contiguous_prefix(events: DataFrame) -> DataFrame:
     return x.groupBy("job").agg(F.count_if(F.col("rank") == F.col("msg")).alias("done"), F.count("*").alias("n"))
 
 
-def throttle(events: DataFrame, seconds: int = 7200) -> DataFrame:
-    """Events that are persisted: all but views at once, views when ``seconds`` have passed since the job's event before."""
-    w = Window.partitionBy("job").orderBy("ts", "event_id")
+def throttle(events: DataFrame, seconds: int = 7200, slow: tuple[str, ...] = ("view",)) -> DataFrame:
+    """Events at which a job's state is persisted: all but the ``slow`` kinds at once, those when ``seconds`` have passed since
+    the job was last persisted (at once if it never was).
+
+    The state is one time for each job, carried along the sorted partition: a hot job needs no more memory than a cold one.
+    """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = at - F.lag(at).over(w)
-    return events.withColumn("gap", gap).where((F.col("kind") != "view") | F.col("gap").isNull() | (F.col("gap") >= seconds * 1_000_000))
+    rows = events.select("job", at.alias("at"), "event_id", "kind").repartition("job").sortWithinPartitions("job", "at", "event_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, last = None, None
+        for pdf in batches:
+            keep = []
+            for j, t, kind in zip(pdf["job"], pdf["at"], pdf["kind"], strict=True):
+                if j != job:
+                    job, last = j, None
+                keep.append(kind not in slow or last is None or t - last >= seconds * 1_000_000)
+                last = t if keep[-1] else last
+            yield pdf.loc[keep, ["event_id", "job"]]
+
+    return rows.mapInPandas(run, "event_id long, job long")
+
+
+def control_states(commands: DataFrame) -> DataFrame:
+    """State of each job after each command (job, event_id, cmd): running, paused, or cancelled for good; others change nothing."""
+    w = Window.partitionBy("job").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    cancelled = F.coalesce(F.max(F.col("cmd") == "cancel").over(w), F.lit(False))
+    moved = F.last(F.when(F.col("cmd") == "pause", "paused").when(F.col("cmd") == "resume", "running"), True).over(w)
+    return commands.withColumn("state", F.when(cancelled, "cancelled").otherwise(F.coalesce(moved, F.lit("running"))))

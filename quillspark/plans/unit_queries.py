@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import jobs, units
+from quillspark.operators import calls, jobs, units
 from quillspark.plans.registry import query
 from quillspark.sources.adapters import job_events, table
 
@@ -72,7 +72,7 @@ def over_budget_candidates(spark, d):
     return a.join(u, ["conv_id", "turn"]).where("dst > 1.15 * 400 and src <= 1.15 * 400").select("conv_id", "turn", "src", "dst", F.lit(400).alias("budget"))
 
 
-@query("job_snapshot", f"""SELECT job, arg_max(kind, event_id) AS status, count(*) AS n_events, coalesce(array_to_string(list_slice(list(msg ORDER BY event_id DESC) FILTER (kind = 'error'), 1, 40), ','), '') AS warnings FROM {_JOBS} GROUP BY 1""")
+@query("job_snapshot", f"""SELECT job, arg_max(kind, event_id) AS status, count(*) AS n_events, coalesce(array_to_string(list_reverse(list_slice(list(msg ORDER BY event_id DESC) FILTER (kind = 'error'), 1, 40)), ','), '') AS warnings FROM {_JOBS} GROUP BY 1""")
 def job_snapshot(spark, d):
     return jobs.snapshot(job_events(table(spark, d, "events")))
 
@@ -87,9 +87,36 @@ def warning_dedup(spark, d):
     return jobs.first_warnings(job_events(table(spark, d, "events")))
 
 
-@query("progress_throttle", f"SELECT event_id, job FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY job ORDER BY ts, event_id)) AS gap FROM {_JOBS}) WHERE kind <> 'view' OR gap IS NULL OR gap >= 7200000000")
+@query("progress_throttle", f"""WITH e AS (SELECT job, event_id, kind, epoch_us(ts) AS t, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS s FROM {_JOBS}),
+w AS (WITH RECURSIVE g AS (
+  SELECT job, s, event_id, t AS last, true AS kept FROM e WHERE s = 1
+  UNION ALL
+  SELECT e.job, e.s, e.event_id, CASE WHEN e.kind <> 'view' OR e.t - g.last >= 7200000000 THEN e.t ELSE g.last END, e.kind <> 'view' OR e.t - g.last >= 7200000000 FROM g JOIN e ON e.job = g.job AND e.s = g.s + 1
+) SELECT * FROM g) SELECT event_id, job FROM w WHERE kept""")
 def progress_throttle(spark, d):
-    return jobs.throttle(job_events(table(spark, d, "events"))).select("event_id", "job")
+    return jobs.throttle(job_events(table(spark, d, "events")))
+
+
+@query("job_control", f"""SELECT job, event_id, CASE WHEN bool_or(kind = 'error' AND msg >= 95) OVER w THEN 'cancelled' ELSE coalesce(last_value(CASE kind WHEN 'click' THEN 'paused' WHEN 'signup' THEN 'running' END IGNORE NULLS) OVER w, 'running') END AS state
+FROM {_JOBS} WINDOW w AS (PARTITION BY job ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def job_control(spark, d):
+    cmd = F.when((F.col("kind") == "error") & (F.col("msg") >= 95), "cancel").when(F.col("kind") == "click", "pause").when(F.col("kind") == "signup", "resume")
+    return jobs.control_states(job_events(table(spark, d, "events")).withColumn("cmd", cmd)).select("job", "event_id", "state")
+
+
+@query("unit_results", """SELECT doc_id, CASE WHEN t IS NULL OR doc_id % 5 = 4 THEN text ELSE '【译】' || t END AS dst, CASE WHEN t IS NOT NULL AND doc_id % 5 < 4 THEN greatest(doc_id % 5, 1)::INTEGER END AS attempt
+FROM (SELECT doc_id, text, substr(text, 1, 20) || (SELECT coalesce(string_agg('[FORMULA_' || x || ']', ''), '') FROM (SELECT unnest(regexp_extract_all(text, '\\[FORMULA_(\\d+)\\]', 1)) AS x)) AS t FROM documents)""")
+def unit_results(spark, d):
+    """A scripted external call: ids with remainder 2 and 3 answer late, 4 never, and early replies to 2 lose a mark."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+    def ask(units, attempt):
+        marks = F.array_join(F.transform(T.placeholders(F.col("text")), lambda x: F.concat(F.lit("[FORMULA_"), x, F.lit("]"))), "")
+        reply = F.concat(F.lit("【译】"), F.substr("text", F.lit(1), F.lit(20)), marks)
+        wrong = (F.col("id") % 5 == 2) & (F.lit(attempt) < 2)
+        return units.where((F.col("id") % 5 <= attempt) | wrong).select("id", F.when(wrong, F.concat(reply, F.lit("[FORMULA_0]"))).otherwise(reply).alias("dst"))
+
+    return calls.ask_until_valid(docs, ask).withColumnRenamed("id", "doc_id")
 
 
 @query("contiguous_prefix", f"SELECT job, count(*) FILTER (r = msg) AS done, count(*) AS n FROM (SELECT job, msg, row_number() OVER (PARTITION BY job ORDER BY msg) - 1 AS r FROM (SELECT DISTINCT job, msg FROM {_JOBS})) GROUP BY 1")
