@@ -1,9 +1,9 @@
-"""Line dedup by pairwise alignment: documents that share rare line hashes are aligned with patience diff, and aligned
-common blocks are deleted from the later document.
+"""Line dedup by pairwise alignment: documents that share the hash of a run of lines are aligned with patience diff, and
+aligned common blocks are deleted from the later document.
 
 Candidate pairs grow with the lines, not with the square of a line's holders: a document is paired with the first
-holder (smallest doc_id) of each of its shared rare lines, and of each of its shared runs of lines of 50 words, however
-many documents hold them. As every deletion has an earlier holder of the line, the first holder of a line keeps it.
+holder (smallest doc_id) of each of its shared runs of lines of 8 words, however many documents hold them. As every
+deletion has an earlier holder of the line, the first holder of a line keeps it.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from quillspark.llm import textbatch as tb
 from quillspark.llm.scratch import Scratch
 
-#: A line of SEED_WORDS seeds a pair if at most RARE_DF documents hold it; a run of lines with LONG_WORDS words always does.
+#: Bounds of the rule by rare lines (``common_blocks`` with seeds), which tests compare with on small tables; no document is kept from a pair by them.
 RARE_DF, LONG_WORDS, SEED_WORDS = 100, 50, 3
 #: Odd base of the polynomial over line hashes that names a run, and its inverse mod 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-#: Words that a common block with a rare line has at least; shorter ones are left as chance.
+#: Words that a common block has at least; shorter ones are left as chance.
 BLOCK_WORDS = 8
 
 
@@ -84,10 +84,45 @@ def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(left: list[int], right: list[int], words: list[int], seeds: set[int], least: int) -> list[int]:
-    """Positions of ``left`` in runs aligned with runs of ``right`` that hold a seed and ``least`` words, or LONG_WORDS.
+def _shortest(lines: list[int], size: dict[int, int], least: int) -> Iterator[tuple[int, int]]:
+    """[start, stop) of the shortest run of lines of ``size`` up to each line that has ``least`` words."""
+    low = n = 0
+    for k, x in enumerate(lines):
+        if x not in size:
+            low, n = k + 1, 0
+            continue
+        n += size[x]
+        while n - size[lines[low]] >= least:
+            n -= size[lines[low]]
+            low += 1
+        if n >= least and size[x]:
+            yield low, k + 1
+
+
+def _covered(left: list[int], right: list[int], words: list[int], seeds: set[int] | None, least: int) -> set[int]:
+    """Positions of ``left`` in runs of lines with ``least`` words that ``right`` has anywhere.
 
-    Found lines are taken out and the rest is aligned again until nothing is found, so blocks in another order count.
+    Each line with words of such a run is in a shortest one that begins or ends inside it. Linear in the lines.
+    """
+    theirs, out = set(right), set()
+    size = {x: n for x, n in zip(left, words, strict=True) if x in theirs}
+    both = lambda x: {*_shortest(x, size, least), *((len(x) - j, len(x) - i) for i, j in _shortest(x[::-1], size, least))}
+    held, end, block = {tuple(right[i:j]) for i, j in both(right)}, 0, []
+    for i, j in [*sorted(x for x in both(left) if tuple(left[x[0] : x[1]]) in held), (len(left) + 1, 0)]:
+        if i > end and block:
+            if seeds is None or sum(words[k] for k in block) >= LONG_WORDS or any(left[k] in seeds for k in block):
+                out |= set(block)
+            block = []
+        block += range(max(i, end), j) if block else range(i, j)
+        end = max(end, j)
+    return out
+
+
+def common_blocks(left: list[int], right: list[int], words: list[int], seeds: set[int] | None, least: int) -> list[int]:
+    """Positions of ``left`` in runs aligned with runs of ``right`` that have ``least`` words.
+
+    With ``seeds``, a run under LONG_WORDS words must hold one of them. Found lines are taken out and the rest is aligned
+    again until nothing is found, so blocks in another order count; what the alignment splits or crosses is found by runs.
     """
     rest, found, theirs = list(left), [], set(right)
     while True:
@@ -95,15 +130,17 @@ def common_blocks(left: list[int], right: list[int], words: list[int], seeds: se
         for pair in [*patience(rest, right), (-9, -9)]:
             if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
                 n = sum(words[i] for i, _ in run)
-                if n >= LONG_WORDS or (n >= least and any(left[i] in seeds for i, _ in run)):
+                if n >= LONG_WORDS or (n >= least and (seeds is None or any(left[i] in seeds for i, _ in run))):
                     new += [i for i, _ in run]
                 run = []
             run.append(pair)
         found += new
         for i in new:
             rest[i] = (i,)  # equal to no line
-        if not new or not any(w and x in theirs for x, w in zip(rest, words, strict=True)):
+        if not any(w and x in theirs for x, w in zip(rest, words, strict=True)):
             return sorted(found)
+        if not new:
+            return sorted({*found, *_covered(left, right, words, seeds, least)})
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -112,21 +149,25 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out.cumprod(dtype=np.uint64)
 
 
-def _runs(hashes: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Name of the shortest run of lines from each line on that has LONG_WORDS words; 0 if its document ends before.
+def _runs(hashes: np.ndarray, words: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """Name of the shortest run of lines from each line on that has ``least`` words; 0 if its document ends before.
 
     ``ends`` holds the end of each line's document as a line number.
     """
     n = len(hashes)
     total = np.concatenate([[0], np.cumsum(words.astype(np.int64))])
-    stop = np.searchsorted(total, total[:-1] + LONG_WORDS)
+    stop = np.searchsorted(total, total[:-1] + least)
     power, inverse = _powers(BASE, n), _powers(BASE_INVERSE, n)
     prefix = np.concatenate([np.zeros(1, np.uint64), (hashes * power).cumsum(dtype=np.uint64)])
     ok = (words > 0) & (stop <= ends)
     return np.where(ok, (prefix[np.minimum(stop, n)] - prefix[:-1]) * inverse, np.uint64(0))
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lined(least: int):
+    return lambda batches: _lines(batches, least)
+
+
+def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tb.text_bytes(batch.column("text"))
         for i, j in tb.chunks(offsets):
@@ -143,7 +184,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = tb.spans(~tb.SPACE[d], part)[0]
             n_words = np.searchsorted(w, ends) - np.searchsorted(w, starts)
             h = np.where(n_words > 0, h, np.uint64(0))
-            runs = _runs(h, n_words, np.repeat(last + 1, counts)).view(np.int64)
+            runs = _runs(h, n_words, np.repeat(last + 1, counts), least).view(np.int64)
             h = h.view(np.int64)
             at = pa.array(np.concatenate([[0], last + 1]).astype(np.int32))
             yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(h)), pa.ListArray.from_arrays(at, pa.array(n_words.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(runs))], ["doc_id", "lines", "words", "runs"])
@@ -152,18 +193,18 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _align(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            gone = [common_blocks(x.tolist(), y.tolist(), w.tolist(), set(s.tolist()), least) for x, y, w, s in zip(pdf["lines"], pdf["other"], pdf["words"], pdf["seeds"], strict=True)]
+            gone = [common_blocks(x.tolist(), y.tolist(), w.tolist(), None, least) for x, y, w in zip(pdf["lines"], pdf["other"], pdf["words"], strict=True)]
             yield pd.DataFrame({"later": pdf["later"], "earlier": pdf["earlier"], "gone": gone})
 
     return run
 
 
-def dedup_lines(docs: DataFrame, rare_df: int = RARE_DF, block_words: int = BLOCK_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with blocks deleted from ``text``, plus n_lines, n_deleted, deleted (line numbers from 0) and partners.
 
     Lines end at U+000A and are compared byte for byte by a 64-bit hash; blank lines equal each other but seed nothing.
-    Deleted is a block of consecutive lines that an earlier document has in the same order, if it has ``LONG_WORDS``
-    words, or ``block_words`` words and a rare line (``SEED_WORDS`` words, held by at most ``rare_df`` documents).
+    Deleted is a block of consecutive lines that an earlier document has in the same order, if it has ``block_words``
+    words, however many documents hold it and however short its lines are.
 
     * null text: null, no line; empty text: one empty line, nothing deleted; a text whose lines all go becomes empty;
     * null doc_id: the row stays as it is and is no partner; repeated doc_id: rows of one id are not compared with each
@@ -173,20 +214,17 @@ def dedup_lines(docs: DataFrame, rare_df: int = RARE_DF, block_words: int = BLOC
     scratch = Scratch(docs.sparkSession, "lines")
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    lined = scratch.keep(own.mapInArrow(_lines, f"doc_id {kind}, lines array<bigint>, words array<int>, runs array<bigint>"), "lined")
-    # keys are lines, which count if they are rare, and runs, which always do
-    lines = F.transform(F.filter(F.arrays_zip("lines", "words"), lambda x: x.words >= SEED_WORDS), lambda x: F.struct(x.lines.alias("key"), F.lit(False).alias("run")))
-    runs = F.transform(F.filter("runs", lambda x: x != 0), lambda x: F.struct(x.alias("key"), F.lit(True).alias("run")))
-    one = lined.select("doc_id", F.inline(F.array_distinct(F.concat(lines, runs))))
-    held = one.groupBy("key", "run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
-    held = scratch.keep(held.where((F.col("earlier") < F.col("last")) & (F.col("run") | (F.col("df") <= rare_df))).select("key", "run", "earlier"), "held")
-    seeds = scratch.keep(one.join(held, ["key", "run"]).where("doc_id > earlier"), "seeds")
-    pairs = scratch.keep(seeds.groupBy(F.col("doc_id").alias("later"), "earlier").agg(F.collect_set(F.when(~F.col("run"), F.col("key"))).alias("seeds")), "pairs")
+    lined = scratch.keep(own.mapInArrow(_lined(block_words), f"doc_id {kind}, lines array<bigint>, words array<int>, runs array<bigint>"), "lined")
+    one = lined.select("doc_id", F.explode(F.array_distinct(F.filter("runs", lambda x: x != 0))).alias("key"))
+    held = one.groupBy("key").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"))
+    held = scratch.keep(held.where(F.col("earlier") < F.col("last")).select("key", "earlier"), "held")
+    pairs = one.join(held, "key").where("doc_id > earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
+    pairs = scratch.keep(pairs, "pairs")
     lined = lined.groupBy("doc_id").agg(F.max(F.struct("lines", "words")).alias("x")).select("doc_id", "x.lines", "x.words")
     wanted = pairs.select(F.col("later").alias("doc_id")).union(pairs.select(F.col("earlier").alias("doc_id"))).distinct()
     few = scratch.keep(lined.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "few")
     half = scratch.keep(pairs.join(few.withColumnRenamed("doc_id", "later"), "later"), "half")
-    both = half.join(few.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("other")), "earlier").select("later", "earlier", "lines", "words", "other", "seeds")
+    both = half.join(few.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("other")), "earlier").select("later", "earlier", "lines", "words", "other")
     gone = both.mapInPandas(_align(block_words), f"later {kind}, earlier {kind}, gone array<int>").where(F.size("gone") > 0)
     gone = gone.groupBy(F.col("later").alias("__id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("__gone"), F.array_sort(F.collect_set("earlier")).alias("__with"))
     gone = scratch.keep(gone, "gone")

@@ -110,6 +110,15 @@ def test_common_passage_of_short_lines(spark):
     assert all(len(gone[i]) == got[i][0] for i in texts)
 
 
+def test_common_block_of_few_words(spark):
+    """A block of 8 to 49 words goes from all but its first holder on both sides of RARE_DF, so a larger corpus gives the same."""
+    x = "one line of nine words that many documents hold"
+    for n in (linededup.RARE_DF, linededup.RARE_DF + 40):
+        texts = {i: f"own text {i} a\n{x}\nown text {i} b" for i in range(n)}
+        got = {r.doc_id: r.deleted for r in linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+        assert got == {i: [1] if i else [] for i in texts}
+
+
 def test_blocks_in_another_order_and_repeats():
     words = [10] * 4
     assert linededup.common_blocks([1, 2, 3, 4], [3, 4, 1, 2], words, {1, 3}, 8) == [0, 1, 2, 3]
