@@ -149,18 +149,24 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out.cumprod(dtype=np.uint64)
 
 
-def _runs(hashes: np.ndarray, words: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
-    """Name of the shortest run of lines from each line on that has ``least`` words; 0 if its document ends before.
+def _runs(hashes: np.ndarray, words: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """Names of the shortest runs of lines from each line on and up to each line that have ``least`` words, two for each line.
 
-    ``ends`` holds the end of each line's document as a line number.
+    0 stands where the document has no such run, or the run up to a line is one from a line on. ``begins`` and ``ends``
+    hold the begin and end of each line's document as line numbers. Each line of a block that two documents share is in
+    such a run inside the block, so the first holders of these runs are all the partners that are needed.
     """
     n = len(hashes)
     total = np.concatenate([[0], np.cumsum(words.astype(np.int64))])
-    stop = np.searchsorted(total, total[:-1] + least)
     power, inverse = _powers(BASE, n), _powers(BASE_INVERSE, n)
     prefix = np.concatenate([np.zeros(1, np.uint64), (hashes * power).cumsum(dtype=np.uint64)])
-    ok = (words > 0) & (stop <= ends)
-    return np.where(ok, (prefix[np.minimum(stop, n)] - prefix[:-1]) * inverse, np.uint64(0))
+    name = lambda start, stop: (prefix[stop] - prefix[start]) * inverse[start]
+    stop = np.searchsorted(total, total[:-1] + least)
+    down = np.where((words > 0) & (stop <= ends), name(np.arange(n), np.minimum(stop, n)), np.uint64(0))
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    known = stop[np.maximum(start, 0)] == np.arange(1, n + 1)
+    up = np.where((words > 0) & (start >= begins) & ~known, name(np.maximum(start, 0), np.arange(1, n + 1)), np.uint64(0))
+    return np.stack([down, up], axis=1).ravel()
 
 
 def _lined(least: int):
@@ -184,10 +190,12 @@ def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             w = tb.spans(~tb.SPACE[d], part)[0]
             n_words = np.searchsorted(w, ends) - np.searchsorted(w, starts)
             h = np.where(n_words > 0, h, np.uint64(0))
-            runs = _runs(h, n_words, np.repeat(last + 1, counts), least).view(np.int64)
+            runs = _runs(h, n_words, np.repeat(last + 1 - counts, counts), np.repeat(last + 1, counts), least).view(np.int64)
             h = h.view(np.int64)
-            at = pa.array(np.concatenate([[0], last + 1]).astype(np.int32))
-            yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(h)), pa.ListArray.from_arrays(at, pa.array(n_words.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(runs))], ["doc_id", "lines", "words", "runs"])
+            at, kept = np.concatenate([[0], last + 1]), runs != 0
+            of_run = pa.array(np.concatenate([[0], np.cumsum(kept)])[2 * at].astype(np.int32))
+            at, runs = pa.array(at.astype(np.int32)), runs[kept]
+            yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(h)), pa.ListArray.from_arrays(at, pa.array(n_words.astype(np.int32))), pa.ListArray.from_arrays(of_run, pa.array(runs))], ["doc_id", "lines", "words", "runs"])
 
 
 def _align(least: int):
@@ -215,7 +223,7 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     lined = scratch.keep(own.mapInArrow(_lined(block_words), f"doc_id {kind}, lines array<bigint>, words array<int>, runs array<bigint>"), "lined")
-    one = lined.select("doc_id", F.explode(F.array_distinct(F.filter("runs", lambda x: x != 0))).alias("key"))
+    one = lined.select("doc_id", F.explode(F.array_distinct("runs")).alias("key"))
     held = one.groupBy("key").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"))
     held = scratch.keep(held.where(F.col("earlier") < F.col("last")).select("key", "earlier"), "held")
     pairs = one.join(held, "key").where("doc_id > earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()

@@ -119,6 +119,45 @@ def test_common_block_of_few_words(spark):
         assert got == {i: [1] if i else [] for i in texts}
 
 
+def blocks_of_all_earlier(texts):
+    """Lines with words in a block of BLOCK_WORDS words of any earlier document, by extending every pair of equal lines."""
+    lines, held, out = {i: t.split("\n") for i, t in texts.items()}, {}, {}
+    for i in sorted(lines):
+        a, out[i] = lines[i], set()
+        n = [len(x.split()) for x in a]
+        for p in range(len(a)):
+            for e, q in held.get(a[p], []) if n[p] else []:
+                r = 0
+                while p + r < len(a) and q + r < len(lines[e]) and a[p + r] == lines[e][q + r]:
+                    r += 1
+                if sum(n[p : p + r]) >= linededup.BLOCK_WORDS:
+                    out[i] |= {k for k in range(p, p + r) if n[k]}
+        for q, x in enumerate(a):
+            held.setdefault(x, []).append((i, q))
+    return out
+
+
+def compare_with_all_earlier(spark, texts):
+    want = blocks_of_all_earlier(texts)
+    for r in linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert [k for k in r.deleted if texts[r.doc_id].split("\n")[k].split()] == sorted(want[r.doc_id]), r.doc_id
+    return want
+
+
+def test_lines_equal_all_earlier_documents(spark, docs):
+    assert any(compare_with_all_earlier(spark, {r.doc_id: r.text for r in docs.collect() if r.text is not None}).values())
+    rng = np.random.default_rng(4)
+    kinds = ["", *(" ".join(f"w{k}x{m}" for m in range(k % 7 + 1)) for k in range(24))]
+    compare_with_all_earlier(spark, {i: "\n".join(rng.choice(kinds, rng.integers(1, 12))) for i in range(600)})
+
+
+def test_block_whose_lines_stood_alone_before(spark):
+    """Block [x, r] of documents 3 and 4, of which x is first in 1 and r in 2, also with a first line of 8 words."""
+    x, r, y = "five words are in x", "four words of r", "this line alone has eight words in it"
+    texts = {1: f"a 1\n{x}\nb 1", 2: f"a 2\n{r}\nb 2", 3: f"a 3\n{x}\n{r}\nb 3\n{y}\n{r}\nc 3", 4: f"{x}\n{r}", 5: f"{y}\na 5", 6: f"{y}\n{r}\na 6"}
+    assert compare_with_all_earlier(spark, texts) == {1: set(), 2: set(), 3: set(), 4: {0, 1}, 5: {0}, 6: {0, 1}}
+
+
 def test_blocks_in_another_order_and_repeats():
     words = [10] * 4
     assert linededup.common_blocks([1, 2, 3, 4], [3, 4, 1, 2], words, {1, 3}, 8) == [0, 1, 2, 3]
