@@ -158,6 +158,13 @@ def test_block_whose_lines_stood_alone_before(spark):
     assert compare_with_all_earlier(spark, texts) == {1: set(), 2: set(), 3: set(), 4: {0, 1}, 5: {0}, 6: {0, 1}}
 
 
+def test_block_of_lines_under_seed_words(spark):
+    """20 lines of 2 words that just two documents share go from the later one; four such lines are 8 words, three stay."""
+    rows = [f"row c{k}" for k in range(20)]
+    texts = {1: "\n".join(["first own line", *rows]), 2: "\n".join([*rows, "second own line"]), 3: "\n".join([*rows[4:8], "third", *rows[9:12]])}
+    assert compare_with_all_earlier(spark, texts) == {1: set(), 2: set(range(20)), 3: set(range(4))}
+
+
 def test_blocks_in_another_order_and_repeats():
     words = [10] * 4
     assert linededup.common_blocks([1, 2, 3, 4], [3, 4, 1, 2], words, {1, 3}, 8) == [0, 1, 2, 3]
