@@ -16,6 +16,8 @@ from quillspark.llm.scratch import Scratch
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "hz", "khz", "w", "kw", "v", "j", "kj", "n", "pa", "mol", "percent", "usd", "eur", "dollars", "euros", "miles", "feet", "inches", "pounds", "hours", "minutes", "seconds", "days", "years", "meters", "metres", "kilometers", "kilometres", "grams", "kilograms", "litres", "liters")
 #: Windows of a benchmark up to this count are broadcast (8 bytes of hash, item, position: under 64 MB); more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: An occurrence also counts with a run of RUN_TOKENS matched tokens (an excerpt of a long item), or when this share of the item's tokens stands at its places (a short item with a word changed).
+RUN_TOKENS, TOKEN_SHARE = 13, 0.8
 _NUMBER, _WORD = r"\p{Nd}[\p{Nd}.,]*", r"[\p{L}\p{M}]+"
 _UNIT = "(?:" + "|".join(UNITS) + ")"
 
@@ -34,6 +36,10 @@ def template_tokens(text: Column) -> Column:
     return F.filter(F.split(x, r"[^\p{L}\p{M}0]+"), lambda t: t != "")
 
 
+def _value(token: Column) -> Column:
+    return F.regexp_replace(token, r"[.,]+$", "")
+
+
 def _windows(df: DataFrame, keys: list[str], length: Column) -> DataFrame:
     """Rows (keys, length, pos, hash) of all windows of ``length`` tokens."""
     last = F.size("tokens") - length
@@ -46,7 +52,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
 
     An item is found in a document when windows that make up at least ``coverage`` of its distinct windows occur there
     with consistent slots: along each occurrence (same offset between document and item) equal slot values of the item
-    stand for equal values in the document. ``reworded`` tells that in no occurrence all slots kept their values.
+    stand for equal values in the document; a number's trailing points and commas are no part of its value. An occurrence
+    with ``RUN_TOKENS`` tokens in windows that follow each other, or ``TOKEN_SHARE`` of the item's tokens at their places,
+    is enough alone. ``reworded`` tells that in no occurrence all slots kept their values.
 
     * null or empty text, or none with a word or number: never in the result, on either side;
     * items of fewer tokens than ``window`` are matched as one window of their own length; items with the same template
@@ -68,23 +76,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
     bench = F.broadcast(bench) if small else bench
     found = found.join(bench, (found.hash == bench.hash) & (found.length == bench.item_length)).select("doc_id", "item_id", found.hash.alias("hash"), "pos", "item_pos", "item_length").distinct()
     found = Scratch(docs.sparkSession, "leaks").keep(found, "found")  # read twice below; without it, all windows are made twice
-    # candidates before slots are looked at: items with enough windows somewhere in the document
-    enough = found.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n")).join(F.broadcast(n_windows) if small else n_windows, "item_id").where(F.col("n") >= coverage * F.col("windows"))
-    found = found.join(enough.select("doc_id", "item_id", "windows"), ["doc_id", "item_id"])
+    found = found.join(F.broadcast(n_windows) if small else n_windows, "item_id")
     spots = found.groupBy("doc_id", "item_id", "windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(F.struct("hash", "item_pos", "item_length")).alias("hits"))
-    # the texts pass through the exchange once and unsorted; the few candidates are the hashed side
-    spots = rows.join(spots.hint("shuffle_hash"), "doc_id").withColumn("doc_raw", raw_tokens(F.col("text"))).drop("text")
+    # the texts pass through the exchange once and unsorted, and each is cut into tokens once; the few candidates are the hashed side
+    spots = spots.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "windows", "shift", "hits")).alias("spots"))
+    spots = rows.join(spots.hint("shuffle_hash"), "doc_id").select("doc_id", "spots", raw_tokens(F.col("text")).alias("doc_raw"), template_tokens(F.col("text")).alias("doc_tokens"))
+    spots = spots.select("doc_id", "doc_raw", "doc_tokens", F.inline("spots"))
     values = items.select("item_id", "tokens", "raw")
     spots = spots.join(F.broadcast(values) if small else values, "item_id")
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h.item_pos, h.item_pos + h.item_length - 1))))
     slots = F.filter(covered, lambda p: F.element_at("tokens", p + 1).isin("0", "A", "U"))
-    pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(F.element_at("raw", p + 1).alias("x"), F.element_at("doc_raw", p + F.col("shift") + 1).alias("y"))))
+    pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(_value(F.element_at("raw", p + 1)).alias("x"), _value(F.element_at("doc_raw", p + F.col("shift") + 1)).alias("y"))))
     spots = spots.withColumn("slots", slots).withColumn("pairs", pairs)
     spots = spots.withColumn("agree", F.size(F.array_distinct(F.transform("pairs", lambda p: p.x))) == F.size("pairs")).where("agree")
     spots = spots.withColumn("same", ~F.exists("pairs", lambda p: p.x != p.y))
-    out = spots.select("doc_id", "item_id", "windows", F.size("slots").alias("n_slots"), "same", F.explode("hits").alias("h"))
-    out = out.groupBy("doc_id", "item_id", "windows").agg(F.countDistinct("h.hash").alias("matched"), F.max("n_slots").cast("long").alias("n_slots"), (~F.bool_or("same")).alias("reworded"))
-    return out.where(F.col("matched") >= coverage * F.col("windows")).select("doc_id", "item_id", "matched", "windows", "n_slots", "reworded")
+    at = F.transform("hits", lambda h: h.item_pos)
+    n_run = F.lit(RUN_TOKENS - window + 1)  # windows that follow each other
+    excerpt = F.exists(at, lambda p: F.size(F.array_intersect(at, F.sequence(p, p + n_run - 1))) == n_run) if window < RUN_TOKENS else F.lit(False)
+    placed = F.size(F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda p: F.get("doc_tokens", p + F.col("shift")) == F.element_at("tokens", p + 1)))
+    enough = excerpt | (placed >= TOKEN_SHARE * F.size("tokens"))
+    out = spots.select("doc_id", "item_id", "windows", F.size("slots").alias("n_slots"), "same", enough.alias("enough"), F.explode("hits").alias("h"))
+    out = out.groupBy("doc_id", "item_id", "windows").agg(F.bool_or("enough").alias("enough"), F.countDistinct("h.hash").alias("matched"), F.max("n_slots").cast("long").alias("n_slots"), (~F.bool_or("same")).alias("reworded"))
+    return out.where(F.col("enough") | (F.col("matched") >= coverage * F.col("windows"))).select("doc_id", "item_id", "matched", "windows", "n_slots", "reworded")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:

@@ -166,6 +166,19 @@ def test_url_rules_equal_brute_force(spark):
         assert (rule, verdict) == (max(fit)[3:] if fit else (None, "block"))
 
 
+def test_leaks_with_a_word_changed_and_excerpts(spark):
+    """One word of 16 to 22 changed, a run of 20 of 59 words, a number at the end of a sentence; one window alone is no leak."""
+    w = lambda n, c: [f"{c}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
+    texts = {k: w(n, c) for k, n, c in ((1, 16, "p"), (2, 20, "q"), (3, 22, "r"), (4, 59, "s"))}
+    bench = spark.createDataFrame([*((k, " ".join(t)) for k, t in texts.items()), (5, "a train runs 5 miles and then 5 more miles to town")], "item_id long, text string")
+    docs = [(k, "so it begins: " + " ".join([*t[: len(t) // 2], "other", *t[len(t) // 2 + 1 :]])) for k, t in texts.items() if k < 4]
+    docs += [(4, "here " + " ".join(texts[4][20:40]) + " ends"), (5, "a train runs 7 miles and then 7, more miles to town")]
+    docs += [(6, " ".join(texts[1][:8])), (7, " ".join(texts[4][:12]))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.windows, r.reworded) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (1, 9, False), (2, 2): (5, 13, False), (3, 3): (7, 15, False), (4, 4): (13, 52, False), (5, 5): (5, 5, True)}
+
+
 def test_secrets(spark, docs, odd):
     forest = secrets.fit(secrets.labelled_findings(1200), trees=30)
     held = secrets.labelled_findings(600, seed=77)
