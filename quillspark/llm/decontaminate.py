@@ -27,11 +27,14 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({_NUMBER}|{_WORD})"), F.lit(1))
 
 
-def template_tokens(text: Column) -> Column:
-    """The same tokens with numbers as 0, units after a number as U and words that begin with a capital as A."""
+def template_tokens(text: Column, folded: bool = False) -> Column:
+    """The same tokens with numbers as 0, units right after a number as U and words that begin with a capital as A.
+
+    ``folded``: capitals are lower-cased and no word counts as a name, so that a copy in another case has this template.
+    """
     x = F.regexp_replace(text, _NUMBER, " 0 ")
-    x = F.regexp_replace(x, r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*", "A")
-    x = F.regexp_replace(x, rf"(?<=0 ) ?{_UNIT}(?![\p{{L}}\p{{M}}])", "U")
+    x = F.lower(x) if folded else F.regexp_replace(x, r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*", "A")
+    x = F.regexp_replace(x, rf"(?<= 0 )([^\p{{L}}\p{{M}}0]*){_UNIT}(?![\p{{L}}\p{{M}}])", "$1U")
     x = F.regexp_replace(x, r"^[^\p{L}\p{M}0]+|[^\p{L}\p{M}0]+$", "")
     return F.filter(F.split(x, r"[^\p{L}\p{M}0]+"), lambda t: t != "")
 
@@ -47,43 +50,37 @@ def _windows(df: DataFrame, keys: list[str], length: Column) -> DataFrame:
     return at.select(*keys, "length", "pos", F.xxhash64(F.slice("tokens", F.col("pos") + 1, F.col("length"))).alias("hash"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
-    """Leaks: (doc_id, item_id, matched, windows, n_slots, reworded), a row for each document and item it holds.
+def _forms(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each form of a text, in which names are placeholders (0) or case is folded (1): (keys, form, tokens)."""
+    forms = F.array(*(F.struct(F.lit(i).alias("form"), template_tokens(F.col("text"), bool(i)).alias("tokens")) for i in (0, 1)))
+    return df.select(*keys, F.inline(forms))
 
-    An item is found in a document when windows that make up at least ``coverage`` of its distinct windows occur there
-    with consistent slots: along each occurrence (same offset between document and item) equal slot values of the item
-    stand for equal values in the document; a number's trailing points and commas are no part of its value. An occurrence
-    with ``RUN_TOKENS`` tokens in windows that follow each other, or ``TOKEN_SHARE`` of the item's tokens at their places,
-    is enough alone. ``reworded`` tells that in no occurrence all slots kept their values.
 
-    * null or empty text, or none with a word or number: never in the result, on either side;
-    * items of fewer tokens than ``window`` are matched as one window of their own length; items with the same template
-      are all reported; null ids are left out;
-    * repeated rows of either table give one row; other columns are ignored; empty tables give no rows;
-    * texts of any length are read whole, and no window is dropped, however frequent.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float) -> DataFrame:
+    """``contaminated`` with v, the hash of the text, which tells rows of one doc_id with different texts apart."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    items = items.select("item_id", template_tokens(F.col("text")).alias("tokens"), raw_tokens(F.col("text")).alias("raw")).where(F.size("tokens") > 0)
-    keyed = _windows(items, ["item_id"], F.least(F.size("tokens"), F.lit(window)))
+    items = items.withColumn("w", F.xxhash64("text"))
+    tokens = _forms(items, ["item_id", "w", "text"]).select("item_id", "w", "form", "tokens", raw_tokens(F.col("text")).alias("raw")).where(F.size("tokens") > 0)
+    keyed = _windows(tokens, ["item_id", "w", "form"], F.least(F.size("tokens"), F.lit(window)))
     sizes = [r["length"] for r in keyed.select("length").distinct().collect()]  # at most ``window`` of them
-    n_windows = keyed.groupBy("item_id").agg(F.countDistinct("hash").alias("windows"))
+    n_windows = keyed.groupBy("item_id", "w", "form").agg(F.countDistinct("hash").alias("windows"))
     small = keyed.count() <= BROADCAST_WINDOWS
-    bench = keyed.withColumnsRenamed({"pos": "item_pos", "length": "item_length"})
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    words = rows.select("doc_id", template_tokens(F.col("text")).alias("tokens"))
+    bench = keyed.withColumnRenamed("pos", "item_pos")
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("v"), "text")
     length = F.explode(F.lit(sizes or [window]).cast("array<int>"))
-    found = _windows(words.withColumn("size", length), ["doc_id"], F.col("size"))
-    bench = F.broadcast(bench) if small else bench
-    found = found.join(bench, (found.hash == bench.hash) & (found.length == bench.item_length)).select("doc_id", "item_id", found.hash.alias("hash"), "pos", "item_pos", "item_length").distinct()
-    found = Scratch(docs.sparkSession, "leaks").keep(found, "found")  # read twice below; without it, all windows are made twice
-    found = found.join(F.broadcast(n_windows) if small else n_windows, "item_id")
-    spots = found.groupBy("doc_id", "item_id", "windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(F.struct("hash", "item_pos", "item_length")).alias("hits"))
+    found = _windows(_forms(rows, ["doc_id", "v"]).withColumn("size", length), ["doc_id", "v", "form"], F.col("size"))
+    found = found.join(F.broadcast(bench) if small else bench, ["form", "length", "hash"])
+    spot = ["doc_id", "v", "item_id", "w", "form"]
+    found = found.select(*spot, "hash", "pos", "item_pos", F.col("length").alias("item_length")).distinct()
+    scratch = Scratch(docs.sparkSession, "leaks")
+    found = scratch.keep(found, "found")  # read twice below; without it, all windows are made twice
+    found = found.join(F.broadcast(n_windows) if small else n_windows, ["item_id", "w", "form"])
+    spots = found.groupBy(*spot, "windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(F.struct("hash", "item_pos", "item_length")).alias("hits"))
     # the texts pass through the exchange once and unsorted, and each is cut into tokens once; the few candidates are the hashed side
-    spots = spots.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "windows", "shift", "hits")).alias("spots"))
-    spots = rows.join(spots.hint("shuffle_hash"), "doc_id").select("doc_id", "spots", raw_tokens(F.col("text")).alias("doc_raw"), template_tokens(F.col("text")).alias("doc_tokens"))
-    spots = spots.select("doc_id", "doc_raw", "doc_tokens", F.inline("spots"))
-    values = items.select("item_id", "tokens", "raw")
-    spots = spots.join(F.broadcast(values) if small else values, "item_id")
+    spots = spots.groupBy("doc_id", "v").agg(F.collect_list(F.struct("item_id", "w", "form", "windows", "shift", "hits")).alias("spots"))
+    spots = rows.join(spots.hint("shuffle_hash"), ["doc_id", "v"]).select("doc_id", "v", "spots", raw_tokens(F.col("text")).alias("doc_raw"), *(template_tokens(F.col("text"), bool(i)).alias(f"form{i}") for i in (0, 1)))
+    spots = spots.select("doc_id", "v", "doc_raw", "form0", "form1", F.inline("spots")).withColumn("doc_tokens", F.when(F.col("form") == 0, F.col("form0")).otherwise(F.col("form1"))).drop("form0", "form1")
+    spots = spots.join(F.broadcast(tokens) if small else tokens, ["item_id", "w", "form"])
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h.item_pos, h.item_pos + h.item_length - 1))))
     slots = F.filter(covered, lambda p: F.element_at("tokens", p + 1).isin("0", "A", "U"))
     pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(_value(F.element_at("raw", p + 1)).alias("x"), _value(F.element_at("doc_raw", p + F.col("shift") + 1)).alias("y"))))
@@ -95,37 +92,71 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverag
     excerpt = F.exists(at, lambda p: F.size(F.array_intersect(at, F.sequence(p, p + n_run - 1))) == n_run) if window < RUN_TOKENS else F.lit(False)
     placed = F.size(F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda p: F.get("doc_tokens", p + F.col("shift")) == F.element_at("tokens", p + 1)))
     enough = excerpt | (placed >= TOKEN_SHARE * F.size("tokens"))
-    out = spots.select("doc_id", "item_id", "windows", F.size("slots").alias("n_slots"), "same", enough.alias("enough"), F.explode("hits").alias("h"))
-    out = out.groupBy("doc_id", "item_id", "windows").agg(F.bool_or("enough").alias("enough"), F.countDistinct("h.hash").alias("matched"), F.max("n_slots").cast("long").alias("n_slots"), (~F.bool_or("same")).alias("reworded"))
-    return out.where(F.col("enough") | (F.col("matched") >= coverage * F.col("windows"))).select("doc_id", "item_id", "matched", "windows", "n_slots", "reworded")
+    out = spots.select(*spot, "windows", F.size("slots").alias("n_slots"), "same", enough.alias("enough"), F.explode("hits").alias("h"))
+    out = out.groupBy(*spot, "windows").agg(F.bool_or("enough").alias("enough"), F.countDistinct("h.hash").alias("matched"), F.max("n_slots").cast("long").alias("n_slots"), (~F.bool_or("same")).alias("reworded"))
+    out = out.where(F.col("enough") | (F.col("matched") >= coverage * F.col("windows")))
+    # the better form of a row and item: unchanged slots first, then the most windows
+    best = F.min(F.struct("reworded", (-F.col("matched")).alias("m"), "windows", (-F.col("n_slots")).alias("n")))
+    out = out.groupBy("doc_id", "v", "item_id").agg(best.alias("x"))
+    return out.select("doc_id", "v", "item_id", (-F.col("x.m")).alias("matched"), "x.windows", (-F.col("x.n")).alias("n_slots"), "x.reworded")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
+    """Leaks: (doc_id, item_id, matched, windows, n_slots, reworded), a row for each document and item it holds.
+
+    An item is found in a document when windows that make up at least ``coverage`` of its distinct windows occur there
+    with consistent slots: along each occurrence (same offset between document and item) equal slot values of the item
+    stand for equal values in the document; a number's trailing points and commas are no part of its value. An occurrence
+    with ``RUN_TOKENS`` tokens in windows that follow each other, or ``TOKEN_SHARE`` of the item's tokens at their places,
+    is enough alone. Texts are compared in two forms, with names as placeholders and with case folded; the form with
+    unchanged slots, then with the most windows, is reported. ``reworded`` tells that in no occurrence all slots kept
+    their values (case apart, in the folded form).
+
+    * null or empty text, or none with a word or number: never in the result, on either side;
+    * items of fewer tokens than ``window`` are matched as one window of their own length; items with the same template
+      are all reported; null ids are left out;
+    * repeated rows give one row; rows of one doc_id (or item_id) with different texts are judged by their own texts, and
+      the best of them is reported for the id; other columns are ignored; empty tables give no rows;
+    * texts of any length are read whole, and no window is dropped, however frequent.
+    """
+    out = _leaks(docs, benchmark, window, coverage)
+    best = F.min(F.struct("reworded", (-F.col("matched")).alias("m"), "windows", (-F.col("n_slots")).alias("n")))
+    out = out.groupBy("doc_id", "item_id").agg(best.alias("x"))
+    return out.select("doc_id", "item_id", (-F.col("x.m")).alias("matched"), "x.windows", (-F.col("x.n")).alias("n_slots"), "x.reworded")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    found = contaminated(docs, benchmark, window, coverage).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows whose text holds a benchmark item; rows with a null doc_id or text stay."""
+    found = _leaks(docs, benchmark, window, coverage).select(F.col("doc_id").alias("__id"), F.col("v").alias("__v")).distinct()
+    return docs.join(found, (docs.doc_id == found["__id"]) & (F.xxhash64(docs.text) == found["__v"]), "left_anti")
 
 
 _SQL_TOKENS = r"regexp_extract_all(text, '\p{Nd}[\p{Nd}.,]*|[\p{L}\p{M}]+')"
-_SQL_TEMPLATE = (
-    r"list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN regexp_matches(raw[i], '^\p{Nd}') THEN '0' WHEN regexp_matches(raw[i], '^\p{Lu}') THEN 'A'"
-    + " WHEN i > 1 AND regexp_matches(raw[i - 1], '^\\p{Nd}') AND raw[i] IN ("
-    + ", ".join(f"'{u}'" for u in UNITS)
-    + ") THEN 'U' ELSE raw[i] END)"
+_SQL_UNIT = "i > 1 AND regexp_matches(raw[i - 1], '^\\p{Nd}') AND %s IN (" + ", ".join(f"'{u}'" for u in UNITS) + ")"
+_SQL_FORMS = (
+    r"SELECT *, 0 AS form, list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN regexp_matches(raw[i], '^\p{Nd}') THEN '0' WHEN regexp_matches(raw[i], '^\p{Lu}') THEN 'A'"
+    + f" WHEN {_SQL_UNIT % 'raw[i]'} THEN 'U' ELSE raw[i] END) AS tok FROM t"
+    + r" UNION ALL SELECT *, 1, list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN regexp_matches(raw[i], '^\p{Nd}') THEN '0'"
+    + f" WHEN {_SQL_UNIT % 'lower(raw[i])'} THEN 'U' ELSE lower(raw[i]) END) FROM t"
 )
+_PLACES = f"len(list_filter(range(0, len(b.tok)), lambda p: p + shift >= 0 AND d.tok[p + shift + 1] = b.tok[p + 1])) >= {TOKEN_SHARE} * len(b.tok)"
+_RUN = f"len(list_filter(begins, lambda p: len(list_intersect(begins, range(p, p + {RUN_TOKENS - 7}))) = {RUN_TOKENS - 7})) > 0"
 ORACLE = f"""
-WITH d AS (SELECT doc_id, raw, {_SQL_TEMPLATE} AS tok FROM (SELECT doc_id, {_SQL_TOKENS} AS raw FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
-b AS (SELECT item_id, raw, {_SQL_TEMPLATE} AS tok FROM (SELECT DISTINCT item_id, {_SQL_TOKENS} AS raw FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL) WHERE len(raw) > 0),
-bw AS (SELECT item_id, least(8, len(tok)) AS n, unnest(range(0, len(tok) - least(8, len(tok)) + 1)) AS p, tok FROM b),
-bk AS (SELECT item_id, n, p, array_to_string(tok[p + 1:p + n], ' ') AS k FROM bw),
-total AS (SELECT item_id, count(DISTINCT k) AS windows FROM bk GROUP BY 1),
-dw AS (SELECT doc_id, n, unnest(range(0, len(tok) - n + 1)) AS p, tok FROM d, (SELECT DISTINCT n FROM bk) WHERE len(tok) >= n),
-dk AS (SELECT doc_id, n, p, array_to_string(tok[p + 1:p + n], ' ') AS k FROM dw),
-hit AS (SELECT DISTINCT doc_id, item_id, dk.k AS k, bk.p AS bp, dk.p - bk.p AS shift, bk.n AS n FROM dk JOIN bk ON dk.k = bk.k AND dk.n = bk.n),
-pos AS (SELECT DISTINCT doc_id, item_id, shift, unnest(range(bp, bp + n)) AS p FROM hit),
-slot AS (SELECT doc_id, item_id, shift, p, b.raw[p + 1] AS x, d.raw[p + shift + 1] AS y FROM pos JOIN b USING (item_id) JOIN d USING (doc_id) WHERE b.tok[p + 1] IN ('0', 'A', 'U')),
-spot AS (SELECT doc_id, item_id, shift, count(DISTINCT p) AS slots, count(DISTINCT x) = count(DISTINCT (x, y)) AS agree, bool_and(x = y) AS same FROM slot GROUP BY 1, 2, 3)
-SELECT doc_id, item_id, count(DISTINCT k) AS matched, any_value(windows) AS windows, CAST(max(coalesce(slots, 0)) AS BIGINT) AS n_slots, NOT bool_or(coalesce(same, true)) AS reworded
-FROM hit JOIN total USING (item_id) LEFT JOIN spot USING (doc_id, item_id, shift) WHERE coalesce(agree, true)
-GROUP BY doc_id, item_id HAVING count(DISTINCT k) >= 0.5 * any_value(windows)
+WITH d AS MATERIALIZED (WITH t AS (SELECT DISTINCT doc_id, md5(text) AS v, {_SQL_TOKENS} AS raw FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) {_SQL_FORMS}),
+b AS MATERIALIZED (WITH t AS (SELECT DISTINCT item_id, md5(text) AS w, {_SQL_TOKENS} AS raw FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL AND len({_SQL_TOKENS}) > 0) {_SQL_FORMS}),
+bw AS (SELECT item_id, w, form, least(8, len(tok)) AS n, unnest(range(0, len(tok) - least(8, len(tok)) + 1)) AS p, tok FROM b),
+bk AS (SELECT item_id, w, form, n, p, array_to_string(tok[p + 1:p + n], ' ') AS k FROM bw),
+total AS (SELECT item_id, w, form, count(DISTINCT k) AS windows FROM bk GROUP BY ALL),
+dw AS (SELECT doc_id, v, form, n, unnest(range(0, len(tok) - n + 1)) AS p, tok FROM d, (SELECT DISTINCT n FROM bk) WHERE len(tok) >= n),
+dk AS (SELECT doc_id, v, form, n, p, array_to_string(tok[p + 1:p + n], ' ') AS k FROM dw),
+hit AS (SELECT DISTINCT doc_id, v, item_id, w, form, k, bk.p AS bp, dk.p - bk.p AS shift, n FROM dk JOIN bk USING (form, n, k)),
+pos AS (SELECT DISTINCT doc_id, v, item_id, w, form, shift, unnest(range(bp, bp + n)) AS p FROM hit),
+slot AS (SELECT doc_id, v, item_id, w, form, shift, p, rtrim(b.raw[p + 1], '.,') AS x, rtrim(d.raw[p + shift + 1], '.,') AS y FROM pos JOIN b USING (item_id, w, form) JOIN d USING (doc_id, v, form) WHERE b.tok[p + 1] IN ('0', 'A', 'U')),
+spot AS (SELECT doc_id, v, item_id, w, form, shift, count(DISTINCT p) AS slots, count(DISTINCT x) = count(DISTINCT (x, y)) AS agree, bool_and(x = y) AS same FROM slot GROUP BY ALL),
+place AS (SELECT doc_id, v, item_id, w, form, shift, list(DISTINCT bp) AS begins FROM hit GROUP BY ALL),
+whole AS (SELECT doc_id, v, item_id, w, form, shift, {_RUN} OR {_PLACES} AS enough FROM place JOIN b USING (item_id, w, form) JOIN d USING (doc_id, v, form)),
+judged AS (SELECT doc_id, v, item_id, w, form, count(DISTINCT k) AS matched, any_value(windows) AS windows, CAST(max(coalesce(slots, 0)) AS BIGINT) AS n_slots, NOT bool_or(coalesce(same, true)) AS reworded, bool_or(enough) AS enough
+  FROM hit JOIN total USING (item_id, w, form) JOIN whole USING (doc_id, v, item_id, w, form, shift) LEFT JOIN spot USING (doc_id, v, item_id, w, form, shift) WHERE coalesce(agree, true) GROUP BY ALL),
+best AS (SELECT doc_id, item_id, min({{'r': reworded, 'm': -matched, 'w': windows, 'n': -n_slots}}) AS x FROM judged WHERE enough OR matched >= 0.5 * windows GROUP BY ALL)
+SELECT doc_id, item_id, -x.m AS matched, x.w AS windows, -x.n AS n_slots, x.r AS reworded FROM best
 """
