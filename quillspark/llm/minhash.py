@@ -5,8 +5,9 @@ low ``bits`` are kept, packed in longs, and the similarity of a candidate pair i
 corrected for fields that are equal by chance. What the estimate leaves is confirmed on the full shingle sets.
 
 Skew: equal sets collapse to one node before banding; in a bucket each node is paired with the bucket's smallest node
-only. Then nodes of different components are compared: pair by pair in small buckets, block by block in large ones. Joins on hot keys read written
-tables on both sides, so that adaptive execution splits them.
+only. What then still lies in different components of a bucket is compared block by block: packed signatures first,
+and full sets of the nodes only that the estimate leaves in a block. Joins on hot keys read written tables on both
+sides, so that adaptive execution splits them.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.llm import textbatch as tb
 from quillspark.llm.components import components
@@ -28,8 +29,8 @@ BANDS, BITS = 32, 4
 MISS = 1e-5
 #: An estimate this far below the threshold is more than four standard deviations away at 128 minima.
 SLACK = 0.15
-#: Nodes up to which a mixed bucket's pairs are compared one by one, and nodes in a block of a larger bucket. Both ways are exact.
-SMALL, BLOCK = 32, 512
+#: Nodes in a block, and shingles in it, on average; blocks are made by hash, so a single larger set stands in one.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 _RNG = np.random.default_rng(7919)
 _MUL = _RNG.integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(1, 2**63, 1024, dtype=np.uint64)
@@ -106,53 +107,104 @@ def _confirm(percent: int):
     return run
 
 
-def _blocks(percent: int, columns: int = 4096):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between nodes of different components in two blocks, one for each pair of components."""
-        pdf = pdf.drop_duplicates("node")
-        nodes, part = pdf["node"].to_numpy(), pdf["component"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+def _fields(bits: int) -> np.uint64:
+    return np.uint64(sum(1 << (bits * i) for i in range(64 // bits)))
+
+
+def _similar(percent: int, k: int, bits: int, schema: pa.Schema):
+    """Nodes of a pair of blocks whose packed signatures leave them a partner in another component."""
+    floor, fields = percent / 100 - SLACK, _fields(bits)
+
+    def run(unit: pa.Table) -> pa.Table:
+        sig = unit.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(unit), -1)
+        n, own, part = (unit.column(c).to_numpy() for c in ("n_shingles", "own", "component"))
+        differ = np.zeros((len(unit), len(unit)), np.int32)
+        for w in range(sig.shape[1]):
+            x = sig[:, None, w] ^ sig[None, :, w]
+            for s in (1 << i for i in range(bits.bit_length() - 1)):
+                x |= x >> np.uint64(s)
+            differ += np.bitwise_count(x & fields)
+        equal = ((k - differ) / k - 2.0**-bits) / (1 - 2.0**-bits)
+        near = (equal >= floor) & (part[:, None] != part[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        if len(np.unique(own)) > 1:
+            near &= own[:, None] != own[None, :]
+        return unit.filter(pa.array(near.any(axis=1))).select(schema.names).cast(schema)
+
+    return run
+
+
+def _forest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Positions of the edges (p, q) that join two trees, taken in order."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    keep = []
+    for i, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+        if (x := root(x)) != (y := root(y)):
+            up[x] = y
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
+def _blocks(percent: int, schema: pa.Schema, columns: int = 4096):
+    def run(unit: pa.Table) -> pa.Table:
+        """Links between nodes of different components in a pair of blocks, as many as join these components."""
+        nodes = unit.column("node")
+        own, part = unit.column("own").to_numpy(), unit.column("component").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit.column("shingles")]
         n = np.array([len(x) for x in sets], np.int64)
         values, at = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), n)
         order = np.argsort(at, kind="stable")
         at, owner = at[order], owner[order]
-        shared = np.zeros((len(sets), len(sets)), np.float32)
+        shared = np.zeros((len(sets), len(sets)), np.int64)
         for low in range(0, len(values), columns):
             i, j = np.searchsorted(at, [low, low + columns])
             has = np.zeros((len(sets), min(columns, len(values) - low)), np.float32)
             has[owner[i:j], at[i:j] - low] = 1
-            shared += has @ has.T
-        shared = shared.astype(np.int64)
-        a, b = np.nonzero(100 * shared >= percent * (n[:, None] + n[None, :] - shared))
-        other = (part[a] > part[b]) & (shared[a, b] > 0)
-        out = pd.DataFrame({"a": nodes[a[other]], "b": nodes[b[other]], "p": part[a[other]], "q": part[b[other]]})
-        return out.drop_duplicates(["p", "q"])[["a", "b"]]
+            shared += (has @ has.T).astype(np.int64)
+        a, b = np.nonzero((100 * shared >= percent * (n[:, None] + n[None, :] - shared)) & (shared > 0) & (part[:, None] > part[None, :]))
+        if len(np.unique(own)) > 1:
+            a, b = a[own[a] != own[b]], b[own[a] != own[b]]
+        few = _forest(part[a], part[b])
+        return pa.table([nodes.take(pa.array(a[few])), nodes.take(pa.array(b[few]))], ["a", "b"]).cast(schema)
 
     return run
 
 
-def _large(docs: DataFrame, member: DataFrame, scratch: Scratch, kind: str, size: int, percent: int) -> DataFrame:
-    """Links across components in buckets of more than ``SMALL`` nodes: exact, block against block.
+def _rest(docs: DataFrame, member: DataFrame, sigs: DataFrame, scratch: Scratch, kind: str, size: int, percent: int, k: int, bits: int) -> DataFrame:
+    """Links across components among the nodes (head, node, component) of buckets, block against block.
 
-    Buckets with the same head are one group. A group's nodes are dealt into blocks of about ``BLOCK``; each pair of
-    blocks is one task-sized unit that counts shared shingles by matrix products, so that no pair becomes a row.
+    Buckets with the same head are one group. A group's nodes are dealt into blocks of about ``BLOCK`` nodes and
+    ``BLOCK_SHINGLES`` shingles; each pair of blocks is one task-sized unit that compares packed signatures. Full sets
+    go only to units, and only of nodes, where the estimate leaves a pair; no pair becomes a row.
     """
-    member = scratch.keep(member.distinct(), "large")
-    groups = scratch.keep(member.groupBy("head").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")), "large-groups")
-    texts = docs.join(member.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = scratch.keep(texts.mapInArrow(_full(size), f"doc_id {kind}, shingles binary"), "large-sets")
-    dealt = scratch.keep(member.join(groups, "head").withColumn("i", F.pmod(F.xxhash64("node"), "blocks")), "large-dealt")
-    dealt = dealt.join(sets, dealt.node == sets.doc_id).drop("doc_id").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("head", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "component", "shingles")
-    return scratch.keep(dealt.groupBy("head", "i", "j").applyInPandas(_blocks(percent), f"a {kind}, b {kind}"), "large-links")
+    member = scratch.keep(member.distinct().join(sigs, "node"), "rest-member")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)))
+    groups = scratch.keep(member.groupBy("head").agg(blocks.alias("blocks")), "rest-groups")
+    dealt = member.join(groups, "head").withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("head", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own", "node", "component", "n_shingles", "sig")
+    names = {"head": kind, "i": "bigint", "j": "bigint", "own": "bigint", "node": kind, "component": kind}
+    arrow = {c: to_arrow_type(dealt.schema[c].dataType) for c in names}
+    near = dealt.groupBy("head", "i", "j").applyInArrow(_similar(percent, k, bits, pa.schema(list(arrow.items()))), ", ".join(f"{c} {t}" for c, t in names.items()))
+    near = scratch.keep(near, "rest-near")
+    texts = docs.join(near.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = scratch.keep(texts.mapInArrow(_full(size), f"doc_id {kind}, shingles binary"), "rest-sets")
+    near = near.join(sets, near.node == sets.doc_id).drop("doc_id")
+    links = near.groupBy("head", "i", "j").applyInArrow(_blocks(percent, pa.schema([("a", arrow["node"]), ("b", arrow["node"])])), f"a {kind}, b {kind}")
+    links = scratch.keep(links, "rest-links")
+    scratch.drop("rest-member", "rest-groups", "rest-near", "rest-sets")
+    return links
 
 
 def estimate(a: Column, b: Column, k: int, bits: int) -> Column:
     """Similarity of two packed signatures: equal fields by bit counts, less the share that is equal by chance."""
     per = 64 // bits
-    fields = sum(1 << (bits * i) for i in range(per))
-    fields -= (1 << 64) if fields >= 1 << 63 else 0
+    fields = int(_fields(bits).astype(np.int64))
     differ = F.lit(0)
     for w in range(-(-k // per)):
         x = F.element_at(a, w + 1).bitwiseXOR(F.element_at(b, w + 1))
@@ -174,7 +226,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     * null or empty text, or no word: n_shingles 0, linked with nothing, component_id its own doc_id, kept;
     * fewer words than ``size``: the whole sequence is the one shingle;
     * null doc_id: component_id and kept are null, and the row links nothing;
-    * repeated doc_id: each row is judged by its own text, and repeated rows get equal values;
+    * repeated doc_id: its rows are one document of several texts, linked with whatever any of them is linked with (a row
+      without words stays by itself); n_shingles is each row's own; equal rows get equal values;
     * very long text: read whole, in a run of its own; empty table: no rows; other columns are ignored.
     """
     if bits not in (1, 2, 4, 8):
@@ -204,31 +257,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         near = near.where(estimate(F.col("sig_a"), F.col("sig_b"), k, bits) >= percent / 100 - SLACK).select("a", "b")
         near = scratch.keep(near, f"{name}-near")
         wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-        texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+        texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         sets = scratch.keep(texts.mapInArrow(_full(size), f"doc_id {kind}, shingles binary"), f"{name}-sets")
         half = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
         half = scratch.keep(half, f"{name}-half")
         both = half.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
         links = scratch.keep(both.mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), f"{name}-links")
-        for x in ("pairs", "near", "sets", "half"):
-            scratch.drop(f"{name}-{x}")
+        scratch.drop(*(f"{name}-{x}" for x in ("pairs", "near", "sets", "half")))
         return links
 
     links = confirmed(member.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), "star")
+    # rows of one id with different texts are one document
+    several = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low < high").select("doc_id")
+    several = scratch.keep(several, "several")
+    if not several.isEmpty():
+        theirs = signed.join(several, "doc_id", "left_semi").select("doc_id", "d1", "d2").distinct().join(nodes.select("d1", "d2", "node"), ["d1", "d2"])
+        links = scratch.keep(links.union(theirs.where("doc_id <> node").select("doc_id", "node")), "links")
     part = components(links, scratch, "star-cc")
     # buckets that still hold several components: their nodes are compared across components
     label = member.join(part, "node", "left").select("key", "node", "head", F.coalesce("component", "node").alias("component"))
     label = scratch.keep(label, "label")
-    mixed = label.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    mixed = label.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     mixed = scratch.keep(mixed, "mixed")
-    mixed = scratch.keep(label.join(mixed, "key"), "rest")
-    small = mixed.where(F.col("n") <= SMALL)
-    x, y = small.alias("x"), small.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.node") != F.col("x.head")))
-    links = links.union(confirmed(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "rest"))
-    links = links.union(_large(docs, mixed.where(F.col("n") > SMALL).select("head", "node", "component"), scratch, kind, size, percent))
-    part = components(links, scratch, "cc")
+    if not mixed.isEmpty():
+        rest = scratch.keep(label.join(mixed, "key").select("head", "node", "component"), "rest")
+        part = components(links.union(_rest(docs, rest, sigs, scratch, kind, size, percent, k, bits)), scratch, "cc")
     of = scratch.keep(nodes.select("d1", "d2", "node").join(part, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component")), "of")
+    scratch.drop("nodes", "heads", "member", "star-links", "several", "links", "label", "mixed", "rest", "rest-links")
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(of, ["d1", "d2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
