@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from quillspark.llm import textbatch as tb
 from quillspark.llm.scratch import Scratch
 
-#: Bounds of the rule by rare lines (``common_blocks`` with seeds), which tests compare with on small tables; no document is kept from a pair by them.
-RARE_DF, LONG_WORDS, SEED_WORDS = 100, 50, 3
 #: Odd base of the polynomial over line hashes that names a run, and its inverse mod 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -99,7 +97,7 @@ def _shortest(lines: list[int], size: dict[int, int], least: int) -> Iterator[tu
             yield low, k + 1
 
 
-def _covered(left: list[int], right: list[int], words: list[int], seeds: set[int] | None, least: int) -> set[int]:
+def _covered(left: list[int], right: list[int], words: list[int], least: int) -> set[int]:
     """Positions of ``left`` in runs of lines with ``least`` words that ``right`` has anywhere.
 
     Each line with words of such a run is in a shortest one that begins or ends inside it. Linear in the lines.
@@ -110,27 +108,25 @@ def _covered(left: list[int], right: list[int], words: list[int], seeds: set[int
     held, end, block = {tuple(right[i:j]) for i, j in both(right)}, 0, []
     for i, j in [*sorted(x for x in both(left) if tuple(left[x[0] : x[1]]) in held), (len(left) + 1, 0)]:
         if i > end and block:
-            if seeds is None or sum(words[k] for k in block) >= LONG_WORDS or any(left[k] in seeds for k in block):
-                out |= set(block)
+            out |= set(block)
             block = []
         block += range(max(i, end), j) if block else range(i, j)
         end = max(end, j)
     return out
 
 
-def common_blocks(left: list[int], right: list[int], words: list[int], seeds: set[int] | None, least: int) -> list[int]:
+def common_blocks(left: list[int], right: list[int], words: list[int], least: int) -> list[int]:
     """Positions of ``left`` in runs aligned with runs of ``right`` that have ``least`` words.
 
-    With ``seeds``, a run under LONG_WORDS words must hold one of them. Found lines are taken out and the rest is aligned
-    again until nothing is found, so blocks in another order count; what the alignment splits or crosses is found by runs.
+    Found lines are taken out and the rest is aligned again until nothing is found, so blocks in another order count;
+    what the alignment splits or crosses is found by runs.
     """
     rest, found, theirs = list(left), [], set(right)
     while True:
         new, run = [], []
         for pair in [*patience(rest, right), (-9, -9)]:
             if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
-                n = sum(words[i] for i, _ in run)
-                if n >= LONG_WORDS or (n >= least and (seeds is None or any(left[i] in seeds for i, _ in run))):
+                if sum(words[i] for i, _ in run) >= least:
                     new += [i for i, _ in run]
                 run = []
             run.append(pair)
@@ -140,7 +136,7 @@ def common_blocks(left: list[int], right: list[int], words: list[int], seeds: se
         if not any(w and x in theirs for x, w in zip(rest, words, strict=True)):
             return sorted(found)
         if not new:
-            return sorted({*found, *_covered(left, right, words, seeds, least)})
+            return sorted({*found, *_covered(left, right, words, least)})
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -195,14 +191,14 @@ def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             at, kept = np.concatenate([[0], last + 1]), runs != 0
             of_run = pa.array(np.concatenate([[0], np.cumsum(kept)])[2 * at].astype(np.int32))
             at, runs = pa.array(at.astype(np.int32)), runs[kept]
-            yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(h)), pa.ListArray.from_arrays(at, pa.array(n_words.astype(np.int32))), pa.ListArray.from_arrays(of_run, pa.array(runs))], ["doc_id", "lines", "words", "runs"])
+            yield pa.record_batch([batch.column("doc_id").slice(i, j - i), batch.column("v").slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(h)), pa.ListArray.from_arrays(at, pa.array(n_words.astype(np.int32))), pa.ListArray.from_arrays(of_run, pa.array(runs))], ["doc_id", "v", "lines", "words", "runs"])
 
 
 def _align(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            gone = [common_blocks(x.tolist(), y.tolist(), w.tolist(), None, least) for x, y, w in zip(pdf["lines"], pdf["other"], pdf["words"], strict=True)]
-            yield pd.DataFrame({"later": pdf["later"], "earlier": pdf["earlier"], "gone": gone})
+            gone = [common_blocks(x.tolist(), y.tolist(), w.tolist(), least) for x, y, w in zip(pdf["lines"], pdf["other"], pdf["words"], strict=True)]
+            yield pdf[["later", "later_v", "earlier"]].assign(gone=gone)
 
     return run
 
@@ -215,31 +211,34 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     words, however many documents hold it and however short its lines are.
 
     * null text: null, no line; empty text: one empty line, nothing deleted; a text whose lines all go becomes empty;
-    * null doc_id: the row stays as it is and is no partner; repeated doc_id: rows of one id are not compared with each
-      other, all of them lose the lines that any of them shares with an earlier document at that position;
+    * null doc_id: the row stays as it is and is no partner; repeated doc_id: each row is aligned by its own text, and
+      rows of one id are not compared with each other;
     * ties: doc_id decides who is earlier; extra columns pass through, those named like added ones are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    lined = scratch.keep(own.mapInArrow(_lined(block_words), f"doc_id {kind}, lines array<bigint>, words array<int>, runs array<bigint>"), "lined")
-    one = lined.select("doc_id", F.explode(F.array_distinct("runs")).alias("key"))
-    held = one.groupBy("key").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"))
-    held = scratch.keep(held.where(F.col("earlier") < F.col("last")).select("key", "earlier"), "held")
-    pairs = one.join(held, "key").where("doc_id > earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
+    # v tells rows of one doc_id with different texts apart
+    own = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("v"), "text")
+    lined = scratch.keep(own.mapInArrow(_lined(block_words), f"doc_id {kind}, v bigint, lines array<bigint>, words array<int>, runs array<bigint>"), "lined")
+    one = lined.select("doc_id", "v", F.explode(F.array_distinct("runs")).alias("key"))
+    held = one.groupBy("key").agg(F.min(F.struct("doc_id", "v")).alias("first"), F.max("doc_id").alias("last"))
+    held = scratch.keep(held.where(F.col("first.doc_id") < F.col("last")).select("key", F.col("first.doc_id").alias("earlier"), F.col("first.v").alias("earlier_v")), "held")
+    pairs = one.join(held, "key").where("doc_id > earlier").select(F.col("doc_id").alias("later"), F.col("v").alias("later_v"), "earlier", "earlier_v").distinct()
     pairs = scratch.keep(pairs, "pairs")
-    lined = lined.groupBy("doc_id").agg(F.max(F.struct("lines", "words")).alias("x")).select("doc_id", "x.lines", "x.words")
-    wanted = pairs.select(F.col("later").alias("doc_id")).union(pairs.select(F.col("earlier").alias("doc_id"))).distinct()
-    few = scratch.keep(lined.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "few")
-    half = scratch.keep(pairs.join(few.withColumnRenamed("doc_id", "later"), "later"), "half")
-    both = half.join(few.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("other")), "earlier").select("later", "earlier", "lines", "words", "other")
-    gone = both.mapInPandas(_align(block_words), f"later {kind}, earlier {kind}, gone array<int>").where(F.size("gone") > 0)
-    gone = gone.groupBy(F.col("later").alias("__id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("__gone"), F.array_sort(F.collect_set("earlier")).alias("__with"))
+    wanted = pairs.select(F.col("later").alias("doc_id"), F.col("later_v").alias("v")).union(pairs.select("earlier", "earlier_v")).distinct()
+    few = lined.select("doc_id", "v", "lines", "words").join(wanted.hint("shuffle_hash"), ["doc_id", "v"], "left_semi")
+    few = scratch.keep(few.dropDuplicates(["doc_id", "v"]), "few")
+    half = scratch.keep(pairs.join(few.withColumnsRenamed({"doc_id": "later", "v": "later_v"}), ["later", "later_v"]), "half")
+    other = few.select(F.col("doc_id").alias("earlier"), F.col("v").alias("earlier_v"), F.col("lines").alias("other"))
+    both = half.join(other, ["earlier", "earlier_v"]).select("later", "later_v", "earlier", "lines", "words", "other")
+    gone = both.mapInPandas(_align(block_words), f"later {kind}, later_v bigint, earlier {kind}, gone array<int>").where(F.size("gone") > 0)
+    gone = gone.groupBy(F.col("later").alias("__id"), F.col("later_v").alias("__v")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("__gone"), F.array_sort(F.collect_set("earlier")).alias("__with"))
     gone = scratch.keep(gone, "gone")
+    scratch.drop("lined", "held", "pairs", "few", "half")
     out = docs.select([c for c in docs.columns if c not in ("n_lines", "n_deleted", "deleted", "partners")])
-    out = out.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
+    out = out.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__v")), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
     none = F.array().cast("array<int>")
-    return out.withColumns({"deleted": F.coalesce("__gone", none), "n_deleted": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")), "partners": F.coalesce("__with", F.array().cast(f"array<{kind}>"))}).drop("__id", "__gone", "__with")
+    return out.withColumns({"deleted": F.coalesce("__gone", none), "n_deleted": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")), "partners": F.coalesce("__with", F.array().cast(f"array<{kind}>"))}).drop("__id", "__v", "__gone", "__with")
