@@ -234,7 +234,7 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     gone = both.mapInPandas(_align(block_words), f"later {kind}, later_v bigint, earlier {kind}, gone array<int>").where(F.size("gone") > 0)
     gone = gone.groupBy(F.col("later").alias("__id"), F.col("later_v").alias("__v")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("__gone"), F.array_sort(F.collect_set("earlier")).alias("__with"))
     gone = scratch.keep(gone, "gone")
-    scratch.drop("lined", "held", "pairs", "few", "half")
+    scratch.keep_only("gone")
     out = docs.select([c for c in docs.columns if c not in ("n_lines", "n_deleted", "deleted", "partners")])
     out = out.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__v")), "left")
     lines = F.split("text", "\n", -1)

@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         rest = scratch.keep(label.join(mixed, "key").select("head", "node", "component"), "rest")
         part = components(links.union(_rest(docs, rest, sigs, scratch, kind, size, percent, k, bits)), scratch, "cc")
     of = scratch.keep(nodes.select("d1", "d2", "node").join(part, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component")), "of")
-    scratch.drop("nodes", "heads", "member", "star-links", "several", "links", "label", "mixed", "rest", "rest-links")
+    scratch.keep_only("signed", "of")
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(of, ["d1", "d2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))

@@ -35,10 +35,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._path, self._conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        self._names: set[str] = set()
         _live.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self._names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -48,8 +50,12 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
+            self._names.discard(name)
             self._delete(f"{self.root}/{name}")
 
+    def keep_only(self, *names: str) -> None:
+        self.drop(*(self._names - set(names)))
+
     def clear(self) -> None:
         self._delete(self.root)
 

@@ -4,7 +4,7 @@ import pytest
 from conftest_llm import brute_components
 from pyspark.sql import functions as F
 
-from quillspark.llm import linededup, minhash, textbatch
+from quillspark.llm import linededup, minhash, scratch, textbatch
 from quillspark.llm.components import components
 from quillspark.llm.scratch import Scratch
 
@@ -18,7 +18,7 @@ def test_near_duplicates_equal_brute_force(docs, size, percent):
 
 
 def test_large_group_of_near_copies(spark):
-    """More than SMALL nodes in one bucket, of which some link with each other only, not with the group's head."""
+    """Many nodes in one bucket, of which some link with each other only, not with the group's head."""
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(120)]
     texts = {}
@@ -58,31 +58,15 @@ def test_estimate(spark):
 
 
 def brute_lines(texts):
+    """Positions deleted from each text and what is left: alignment with every earlier text that has a common line."""
     lines = {i: t.split("\n") for i, t in texts.items() if t is not None}
-    held = {}
+    held, gone = {}, {i: set() for i in texts}
     for i in sorted(lines):
+        words = [len(x.split()) for x in lines[i]]
+        for e in {e for x in lines[i] if x.strip() for e in held.get(x, ())}:
+            gone[i] |= set(linededup.common_blocks(lines[i], lines[e], words, linededup.BLOCK_WORDS))
         for x in set(lines[i]):
-            if len(x.split()) >= linededup.SEED_WORDS:
-                held.setdefault(x, []).append(i)
-    seeds = {}
-    for x, ids in held.items():
-        if 1 < len(ids) <= linededup.RARE_DF:
-            for i in ids[1:]:
-                seeds.setdefault((i, ids[0]), set()).add(x)
-    first = {}
-    for i in sorted(lines):
-        for k, x in enumerate(lines[i]):
-            n, run = 0, []
-            for y in lines[i][k:] if x.strip() else []:
-                n, run = n + len(y.split()), [*run, y]
-                if n >= linededup.LONG_WORDS:
-                    e = first.setdefault(tuple(run), i)
-                    if e < i:
-                        seeds.setdefault((i, e), set())
-                    break
-    gone = {i: set() for i in texts}
-    for (i, e), s in seeds.items():
-        gone[i] |= set(linededup.common_blocks(lines[i], lines[e], [len(x.split()) for x in lines[i]], s, linededup.BLOCK_WORDS))
+            held.setdefault(x, []).append(i)
     return gone, {i: None if t is None else "\n".join(x for k, x in enumerate(lines[i]) if k not in gone[i]) for i, t in texts.items()}
 
 
@@ -96,7 +80,7 @@ def test_lines_equal_brute_force(docs):
 
 
 def test_common_passage_of_short_lines(spark):
-    """A passage of short lines that far more than RARE_DF documents hold goes from all but the first; other order, repeats."""
+    """A passage of short lines that very many documents hold goes from all but the first; other order, repeats."""
     p = [f"common line number {k} of this long passage with twelve words {k}" for k in range(5)]
     own = lambda i, n: [f"only document {i} has its own line {k} here" for k in range(n)]
     texts = {i: "\n".join([*own(i, 2 + i % 3), *p, *own(i + 1000, 1)]) for i in range(140)}
@@ -111,9 +95,9 @@ def test_common_passage_of_short_lines(spark):
 
 
 def test_common_block_of_few_words(spark):
-    """A block of 8 to 49 words goes from all but its first holder on both sides of RARE_DF, so a larger corpus gives the same."""
+    """A block of 9 words goes from all but its first holder, however many hold it, so a larger corpus gives the same."""
     x = "one line of nine words that many documents hold"
-    for n in (linededup.RARE_DF, linededup.RARE_DF + 40):
+    for n in (3, 100, 140):
         texts = {i: f"own text {i} a\n{x}\nown text {i} b" for i in range(n)}
         got = {r.doc_id: r.deleted for r in linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
         assert got == {i: [1] if i else [] for i in texts}
@@ -158,7 +142,7 @@ def test_block_whose_lines_stood_alone_before(spark):
     assert compare_with_all_earlier(spark, texts) == {1: set(), 2: set(), 3: set(), 4: {0, 1}, 5: {0}, 6: {0, 1}}
 
 
-def test_block_of_lines_under_seed_words(spark):
+def test_block_of_very_short_lines(spark):
     """20 lines of 2 words that just two documents share go from the later one; four such lines are 8 words, three stay."""
     rows = [f"row c{k}" for k in range(20)]
     texts = {1: "\n".join(["first own line", *rows]), 2: "\n".join([*rows, "second own line"]), 3: "\n".join([*rows[4:8], "third", *rows[9:12]])}
@@ -167,9 +151,58 @@ def test_block_of_lines_under_seed_words(spark):
 
 def test_blocks_in_another_order_and_repeats():
     words = [10] * 4
-    assert linededup.common_blocks([1, 2, 3, 4], [3, 4, 1, 2], words, {1, 3}, 8) == [0, 1, 2, 3]
-    assert linededup.common_blocks([9, 1, 2, 8], [1, 2, 7, 1, 2, 6], words, {1}, 8) == [1, 2]
-    assert linededup.common_blocks([1, 2, 3, 4], [5, 6], words, {1}, 8) == []
+    assert linededup.common_blocks([1, 2, 3, 4], [3, 4, 1, 2], words, 8) == [0, 1, 2, 3]
+    assert linededup.common_blocks([9, 1, 2, 8], [1, 2, 7, 1, 2, 6], words, 8) == [1, 2]
+    assert linededup.common_blocks([1, 2, 3, 4], [5, 6], words, 8) == []
+
+
+def test_repeated_id_with_other_texts(spark):
+    """Rows of one id are aligned, linked and judged by their own texts."""
+    block = "\n".join(f"line {k} of a block with some words" for k in range(3))
+    own = "\n".join(f"own line {k} of the other row and nothing else" for k in range(12))
+    df = spark.createDataFrame([(1, block), (2, own), (2, f"{block}\nlast"), (2, own)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_deleted) for r in linededup.dedup_lines(df).collect())
+    assert got == sorted([(1, block, 0), (2, own, 0), (2, own, 0), (2, "last", 3)])
+    w = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(5, w("a")), (5, w("b")), (6, w("a") + " x"), (7, w("b") + " x"), (3, w("b")), (8, w("c")), (8, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == [(3, 58, 3, True), (5, 58, 3, False), (5, 58, 3, False), (6, 59, 3, False), (7, 59, 3, False), (8, 0, 8, True), (8, 58, 8, True)]
+
+
+def test_mixed_bucket_of_many_components(spark):
+    """Pairs under the threshold share buckets with the head; of blocks of 8 nodes, links inside and across are found."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(200)], {}
+    for g in range(12):
+        t = list(base)
+        for k in rng.choice(200, 12, replace=False):
+            t[k] = f"g{g}x{k}"
+        for m in range(4):
+            u = list(t)
+            u[int(rng.integers(0, 200))] = f"m{g}y{m}"
+            texts[int(rng.integers(0, 10**6))] = " ".join(u)
+    want, _ = brute_components(texts, 3, 85)
+    assert len(set(want.values())) > 5
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (8, 512):
+        old, minhash.BLOCK = minhash.BLOCK, block
+        try:
+            assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()} == want
+        finally:
+            minhash.BLOCK = old
+
+
+def test_scratch_is_released(spark):
+    import os
+
+    since = scratch.mark()
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e f")], "doc_id long, text string")
+    minhash.near_duplicates(df).collect()
+    linededup.dedup_lines(df).collect()
+    roots = [x.root for x in scratch._live[since:]]
+    assert len(roots) == 2 and all(len(os.listdir(x)) <= 2 for x in roots)
+    scratch.release(since)
+    assert not any(os.path.exists(x) for x in roots)
 
 
 def test_patience():

@@ -16,7 +16,10 @@ def test_pipeline_equals_brute_force(spark, sf, docs):
 
     texts = {r.doc_id: r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
     gone, left = brute_lines(texts)
-    texts = {i: left[i] for i in texts if len(gone[i]) < len(texts[i].split("\n"))}
+    whole = {i: t for i, t in texts.items() if len(gone[i]) < len(t.split("\n"))}
+    part, _ = brute_components(whole, 5, 80)
+    assert any(part[i] != i for i in whole)
+    texts = {i: left[i] for i in whole if part[i] == i}
     part, _ = brute_components(texts, 5, 80)
     texts = {i: t for i, t in texts.items() if part[i] == i}
     c = duckdb.connect()
