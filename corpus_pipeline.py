@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, langid, linededup, minhash, pieces
 from quillspark.llm.queries import PIECES
-from quillspark.llm.scratch import Scratch
+from quillspark.llm.scratch import Scratch, mark, release
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+def _whole(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of the documents table for the rows of ``docs`` that are cut from it: no line that it has not."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("__whole"))
+    cut = docs.select("doc_id", F.col("text").alias("__cut")).join(table, "doc_id")
+    cut = cut.where(F.size(F.array_except(F.split("__cut", "\n", -1), F.split("__whole", "\n", -1))) == 0)
+    return cut.select("doc_id", F.col("__whole").alias("text"))
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    """One document, the one with the smallest id, of each group of near duplicates.
+
+    Line dedup leaves of a near copy the lines only that differ, which resemble nothing. So documents are compared by
+    their texts before it first, and those that stay by their texts after it.
+    """
+    scratch, since = Scratch(spark, "near"), mark()
+
+    def left(texts: DataFrame, name: str) -> DataFrame:
+        gone = scratch.keep(minhash.near_duplicates(texts).where("not kept").select("doc_id").distinct(), f"{name}-gone")
+        release(since)
+        return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+    docs = scratch.keep(left(scratch.keep(_whole(spark, docs, sf_dir), "whole"), "whole"), "rest")
+    scratch.keep_only("rest")
+    return left(docs, "cut")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +68,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.keep(docs, name)
+            scratch.keep_only(name)
+            release(since)
     return docs
