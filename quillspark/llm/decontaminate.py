@@ -19,7 +19,6 @@ BROADCAST_WINDOWS = 1_000_000
 #: An occurrence also counts with a run of RUN_TOKENS matched tokens (an excerpt of a long item), or when this share of the item's tokens stands at its places (a short item with a word changed).
 RUN_TOKENS, TOKEN_SHARE = 13, 0.8
 _NUMBER, _WORD = r"\p{Nd}[\p{Nd}.,]*", r"[\p{L}\p{M}]+"
-_UNIT = "(?:" + "|".join(UNITS) + ")"
 
 
 def raw_tokens(text: Column) -> Column:
@@ -27,16 +26,23 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({_NUMBER}|{_WORD})"), F.lit(1))
 
 
-def template_tokens(text: Column, folded: bool = False) -> Column:
-    """The same tokens with numbers as 0, units right after a number as U and words that begin with a capital as A.
+def template_tokens(raw: Column, folded: bool = False) -> Column:
+    """Tokens with numbers as 0, units right after a number as U and words that begin with a capital as A.
 
     ``folded``: capitals are lower-cased and no word counts as a name, so that a copy in another case has this template.
+    Tokens are told apart by their first character; only those that begin outside ASCII need a regular expression.
     """
-    x = F.regexp_replace(text, _NUMBER, " 0 ")
-    x = F.lower(x) if folded else F.regexp_replace(x, r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*", "A")
-    x = F.regexp_replace(x, rf"(?<= 0 )([^\p{{L}}\p{{M}}0]*){_UNIT}(?![\p{{L}}\p{{M}}])", "$1U")
-    x = F.regexp_replace(x, r"^[^\p{L}\p{M}0]+|[^\p{L}\p{M}0]+$", "")
-    return F.filter(F.split(x, r"[^\p{L}\p{M}0]+"), lambda t: t != "")
+    other = lambda t, kind: (t >= "\x7f") & t.rlike(rf"^\p{{{kind}}}")
+    number = lambda t: ((t >= "0") & (t < ":")) | other(t, "Nd")
+    name = lambda t: ((t >= "A") & (t < "[")) | other(t, "Lu")
+
+    def kind(t: Column, i: Column) -> Column:
+        low = F.lower(t) if folded else t
+        out = F.when(number(t), "0")
+        out = out if folded else out.when(name(t), "A")
+        return out.when(low.isin(*UNITS) & number(F.get(raw, i - 1)), "U").otherwise(low)
+
+    return F.transform(raw, kind)
 
 
 def _value(token: Column) -> Column:
@@ -51,16 +57,18 @@ def _windows(df: DataFrame, keys: list[str], length: Column) -> DataFrame:
 
 
 def _forms(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each form of a text, in which names are placeholders (0) or case is folded (1): (keys, form, tokens)."""
-    forms = F.array(*(F.struct(F.lit(i).alias("form"), template_tokens(F.col("text"), bool(i)).alias("tokens")) for i in (0, 1)))
-    return df.select(*keys, F.inline(forms))
+    """A row for each form of a text, in which names are placeholders (0) or case is folded (1): (keys, form, tokens, raw)."""
+    # raw passes through a generator, so that it is made once and not by each use
+    cut = df.select(*keys, F.explode(F.array(raw_tokens(F.col("text")))).alias("raw"))
+    forms = F.array(*(F.struct(F.lit(i).alias("form"), template_tokens(F.col("raw"), bool(i)).alias("tokens")) for i in (0, 1)))
+    return cut.select(*keys, "raw", F.inline(forms))
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float) -> DataFrame:
     """``contaminated`` with v, the hash of the text, which tells rows of one doc_id with different texts apart."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     items = items.withColumn("w", F.xxhash64("text"))
-    tokens = _forms(items, ["item_id", "w", "text"]).select("item_id", "w", "form", "tokens", raw_tokens(F.col("text")).alias("raw")).where(F.size("tokens") > 0)
+    tokens = _forms(items, ["item_id", "w"]).where(F.size("tokens") > 0)
     keyed = _windows(tokens, ["item_id", "w", "form"], F.least(F.size("tokens"), F.lit(window)))
     sizes = [r["length"] for r in keyed.select("length").distinct().collect()]  # at most ``window`` of them
     n_windows = keyed.groupBy("item_id", "w", "form").agg(F.countDistinct("hash").alias("windows"))
@@ -68,7 +76,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float)
     bench = keyed.withColumnRenamed("pos", "item_pos")
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("v"), "text")
     length = F.explode(F.lit(sizes or [window]).cast("array<int>"))
-    found = _windows(_forms(rows, ["doc_id", "v"]).withColumn("size", length), ["doc_id", "v", "form"], F.col("size"))
+    found = _windows(_forms(rows, ["doc_id", "v"]).drop("raw").withColumn("size", length), ["doc_id", "v", "form"], F.col("size"))
     found = found.join(F.broadcast(bench) if small else bench, ["form", "length", "hash"])
     spot = ["doc_id", "v", "item_id", "w", "form"]
     found = found.select(*spot, "hash", "pos", "item_pos", F.col("length").alias("item_length")).distinct()
@@ -78,7 +86,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float)
     spots = found.groupBy(*spot, "windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(F.struct("hash", "item_pos", "item_length")).alias("hits"))
     # the texts pass through the exchange once and unsorted, and each is cut into tokens once; the few candidates are the hashed side
     spots = spots.groupBy("doc_id", "v").agg(F.collect_list(F.struct("item_id", "w", "form", "windows", "shift", "hits")).alias("spots"))
-    spots = rows.join(spots.hint("shuffle_hash"), ["doc_id", "v"]).select("doc_id", "v", "spots", raw_tokens(F.col("text")).alias("doc_raw"), *(template_tokens(F.col("text"), bool(i)).alias(f"form{i}") for i in (0, 1)))
+    spots = rows.join(spots.hint("shuffle_hash"), ["doc_id", "v"]).select("doc_id", "v", "spots", F.explode(F.array(raw_tokens(F.col("text")))).alias("doc_raw"))
+    spots = spots.select("*", *(template_tokens(F.col("doc_raw"), bool(i)).alias(f"form{i}") for i in (0, 1)))
     spots = spots.select("doc_id", "v", "doc_raw", "form0", "form1", F.inline("spots")).withColumn("doc_tokens", F.when(F.col("form") == 0, F.col("form0")).otherwise(F.col("form1"))).drop("form0", "form1")
     spots = spots.join(F.broadcast(tokens) if small else tokens, ["item_id", "w", "form"])
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h.item_pos, h.item_pos + h.item_length - 1))))
