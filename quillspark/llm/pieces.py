@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
-A text is cut where no piece can cross: before a run of spaces and around line breaks. Distinct words of the same
+A text is cut where no piece can cross: before a run of spaces, around line breaks, and between two characters that
+stand side by side in no piece, so that texts without spaces fall into short parts too. Distinct parts of the same
 length advance together through the lattice; substrings are found by hash in the sorted keys of the pieces, and a
-vectorised maximum keeps for each end the best score and the piece that reaches it.
+vectorised maximum keeps for each end the best score and the piece that reaches it. Where few parts have a length, the
+substrings of each are still found together, and only the maxima are taken one by one.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ _B = 0x9E3779B97F4A7C15 | 1
 _UP = np.array([pow(_B, i, 2**64) for i in range(512)], np.uint64)
 _DOWN = np.array([pow(pow(_B, -1, 2**64), i, 2**64) for i in range(512)], np.uint64)
 _FILTER = 20
+#: Up to so many parts of one length are searched one by one.
+FEW = 32
 
 
 def _points(chars: np.ndarray) -> np.ndarray:
@@ -48,6 +52,9 @@ class PieceModel:
     unk_id: int
     surface: list[bytes]
     seen: np.ndarray = field(repr=False, default=None)
+    pairs: np.ndarray = field(repr=False, default=None)  # neighbours in pieces, sorted: first << 21 | second
+    single: np.ndarray = field(repr=False, default=None)  # characters that are pieces, sorted
+    lengths: np.ndarray = field(repr=False, default=None)  # characters of each id's piece
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -80,7 +87,11 @@ class PieceModel:
         at = {p: i for i, (p, _, t) in enumerate(pieces) if t == 6}
         surface = [bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else " ⁇ ".encode() if t == 2 else p.replace(chr(MARK), " ").encode() for p, _, t in pieces]
         scores = np.array([s for _, _, s in normal], np.float64)
-        return cls(keys, np.array([i for i, _, _ in normal], np.int32)[order], scores[order], max((len(p) for _, p, _ in normal), default=1), float(scores.min() if len(scores) else 0) - UNKNOWN_PENALTY, np.array([at[f"<0x{b:02X}>"] for b in range(256)], np.int32) if byte_fallback else None, next((i for i, (_, _, t) in enumerate(pieces) if t == 2), 0), surface, seen)
+        chars = [np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.int64) for _, p, _ in normal]
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(c[:-1] << 21 | c[1:] for c in chars if len(c) > 1)]))
+        single = np.unique(np.array([c[0] for c in chars if len(c) == 1], np.int64))
+        lengths = np.array([len(p) for p, _, _ in pieces], np.int64)
+        return cls(keys, np.array([i for i, _, _ in normal], np.int32)[order], scores[order], max((len(p) for _, p, _ in normal), default=1), float(scores.min() if len(scores) else 0) - UNKNOWN_PENALTY, np.array([at[f"<0x{b:02X}>"] for b in range(256)], np.int32) if byte_fallback else None, next((i for i, (_, _, t) in enumerate(pieces) if t == 2), 0), surface, seen, pairs, single, lengths)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Position in ``keys``, or -1."""
@@ -97,6 +108,8 @@ class PieceModel:
         Of equal scores the path whose last piece starts first is kept.
         """
         n, size = chars.shape
+        if n <= FEW and size > 8:
+            return self._search_few(chars)
         best = np.full((size + 1, n), -np.inf)
         best[0] = 0
         piece, length = np.full((size + 1, n), -1, np.int64), np.ones((size + 1, n), np.int32)
@@ -129,6 +142,48 @@ class PieceModel:
             rows = rows[pos[rows] > 0]
         return out, count
 
+    def _search_few(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, word by word: linear in the pieces that occur."""
+        n, size = chars.shape
+        out, count = np.zeros((n, size), np.int32), np.zeros(n, np.int64)
+        for r in range(n):
+            points, h = _points(chars[r]), np.zeros(size, np.uint64)
+            starts, ends, at = [], [], []
+            for m in range(1, min(self.longest, size) + 1):
+                h = h[: size - m + 1] + points[m - 1 :] * _UP[m - 1]
+                got = self.find(_key(h, m))
+                hit = np.arange(size) if m == 1 else np.flatnonzero(got >= 0)
+                starts.append(hit)
+                ends.append(hit + m)
+                at.append(got[hit])
+            starts, ends, at = (np.concatenate(x) for x in (starts, ends, at))
+            order = np.lexsort((ends, starts))
+            score = np.where(at >= 0, self.scores[at], self.unknown)
+            best, via = [0.0] + [-np.inf] * size, [0] * (size + 1)
+            for k, i, j, s in zip(order.tolist(), starts[order].tolist(), ends[order].tolist(), score[order].tolist(), strict=True):
+                if best[i] + s > best[j]:
+                    best[j], via[j] = best[i] + s, k
+            j, path = size, []
+            while j:
+                path.append(via[j])
+                j = int(starts[via[j]])
+            count[r] = len(path)
+            ids = at[path[::-1]]
+            out[r, size - len(path) :] = np.where(ids >= 0, self.ids[ids], -1)
+        return out, count
+
+    def _parts(self, chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Bounds of words and of their parts: a cut lies between characters that are neighbours in no piece."""
+        if len(chars) < 2:
+            return bounds
+        c = chars.astype(np.int64)
+        inside = lambda table, x: table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x if len(table) else np.zeros(len(x), bool)
+        cut = ~inside(self.pairs, c[:-1] << 21 | c[1:])
+        if self.byte_ids is None:  # a run of unknown characters is one token and stays whole
+            known = inside(self.single, c)
+            cut &= known[:-1] | known[1:]
+        return np.union1d(bounds, np.flatnonzero(cut) + 1)
+
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words data[start:end] (UTF-8, spaces as marks), one run after another, and how many each has."""
         n_bytes = ends - starts
@@ -137,7 +192,8 @@ class PieceModel:
         chars = np.where(chars == 32, np.uint32(MARK), chars)
         lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         bounds = lead[np.concatenate([[0], np.cumsum(n_bytes)])]
-        sizes, counts = np.diff(bounds), np.zeros(len(starts), np.int64)
+        words, bounds = bounds, self._parts(chars, bounds)
+        sizes, counts = np.diff(bounds), np.zeros(len(bounds) - 1, np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
@@ -147,31 +203,28 @@ class PieceModel:
                 keep = np.arange(size) >= (size - count)[:, None]
                 flat, owner = ids[keep], np.repeat(part, count)
                 if (flat < 0).any():
-                    flat, owner, count = self._spell(ids, count, chars, bounds, part)
+                    flat, owner, count = self._spell(flat, owner, count, chars, bounds, part)
                 counts[part] = count
                 found.append((owner, flat))
         owner, flat = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-        return flat[np.argsort(owner, kind="stable")], counts
-
-    def _spell(self, ids, count, chars, bounds, part):
-        """Unknown characters as their bytes, or, without byte pieces, runs of them as the unknown id."""
-        flat, owner = [], []
-        for r, w in enumerate(part):
-            mine, at = [], bounds[w + 1]
-            for x in ids[r, ids.shape[1] - count[r] :][::-1]:
-                if x >= 0:
-                    mine.append(int(x))
-                    at -= len(self.surface[x].decode())
-                else:
-                    at -= 1
-                    if self.byte_ids is not None:
-                        mine += [int(self.byte_ids[b]) for b in chr(int(chars[at])).encode()[::-1]]
-                    elif not mine or mine[-1] != self.unk_id:
-                        mine.append(self.unk_id)
-            flat += mine[::-1]
-            owner += [w] * len(mine)
-            count[r] = len(mine)
-        return np.array(flat, np.int32), np.array(owner, np.int64), count
+        return flat[np.argsort(owner, kind="stable")], np.add.reduceat(counts, np.searchsorted(bounds, words[:-1])) if len(starts) else counts
+
+    def _spell(self, flat, owner, count, chars, bounds, part):
+        """Unknown characters (-1) as their bytes, or, without byte pieces, runs of them as the unknown id."""
+        first = np.cumsum(count) - count
+        if self.byte_ids is None:
+            again = (flat[1:] < 0) & (flat[:-1] < 0) & (owner[1:] == owner[:-1])
+            keep = np.concatenate([[True], ~again])
+            return np.where(flat < 0, np.int32(self.unk_id), flat)[keep], owner[keep], np.add.reduceat(keep.astype(np.int64), first)
+        length = np.where(flat < 0, 1, self.lengths[flat])
+        at = np.cumsum(length) - length
+        c = chars[bounds[owner] + at - np.repeat(at[first], count)].astype(np.int64)
+        n = np.where(flat < 0, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000), 1)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        c, of, flat, owner = (np.repeat(x, n) for x in (c, n, flat, owner))
+        low = c >> (6 * (of - 1 - k))
+        byte = np.where(of == 1, c, np.where(k == 0, np.array([0, 0, 0xC0, 0xE0, 0xF0])[of] | low, 0x80 | (low & 0x3F)))
+        return np.where(flat < 0, self.byte_ids[byte & 255], flat), owner, np.add.reduceat(n, first)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, one run after another, how many each text has, and whether its ids spell it again."""

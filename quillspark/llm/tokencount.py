@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from quillspark.llm import textbatch as tb
 
 CHUNK = 4 << 20
+#: Up to so many words of one length are read one by one: a step of numpy costs as much as so many bytes.
+FEW = 8
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -70,6 +72,8 @@ class LongestMatch:
     def counts(self, words: np.ndarray) -> np.ndarray:
         """Pieces of each word of (words, bytes); a word without a segmentation counts as one unknown token."""
         n = len(words)
+        if n <= FEW:
+            return np.array([self._count(w.tobytes()) for w in words], np.int64)
         state, count, lost = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, bool)
         for c in [*(np.full(n, x, np.uint8) for x in self.start), *words.T]:
             to = self.next[self.row[state], c]
@@ -86,6 +90,18 @@ class LongestMatch:
         lost |= (state > 0) & self.dead[state]
         return np.where(lost, 1, count + self.rest[state])
 
+    def _count(self, word: bytes) -> int:
+        """The same for one word, byte by byte: for lengths that few words have, such as texts without spaces."""
+        step, row, fail, pops, state, count = self.next, self.row, self.fail, self.pops, 0, 0
+        for c in bytes(self.start) + word:
+            while (to := step[row[state], c]) < 0:
+                count += pops[state]
+                state = fail[state]
+                if state < 0:
+                    return 1
+            state = to
+        return 1 if state > 0 and self.dead[state] else int(count + self.rest[state])
+
     def count_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words and tokens of each text; distinct words of one length advance together."""
         starts, ends, owner = tb.spans(~tb.SPACE[data], offsets)
