@@ -20,8 +20,11 @@ from quillspark.llm import textbatch as tb
 DIMS = 4096
 #: Families of related languages; a language that is not listed is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"), "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"), "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"), "uralic": ("fi", "et", "hu")}
-#: Labelled documents that the models are fitted on, for each language at most: at 16 KB of features each.
-SAMPLE = 400
+#: Labelled documents that the models are fitted on: for each language, and in all, at 16 KB of features each (256 MB);
+#: with more than 40 languages each gets an equal share of these. Weights are 16 KB for each family and pair of a family.
+SAMPLE, SAMPLE_ALL = 400, 16_384
+#: Texts whose features are held at once: 4 MB of counts.
+ROWS = 256
 UNKNOWN = "und"
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -111,7 +114,7 @@ class LanguageModel:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tb.text_bytes(batch.column("text"))
-        for i, j in tb.chunks(offsets):
+        for i, j in tb.chunks(offsets, rows=ROWS):
             x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.record_batch([batch.column("lang").slice(i, j - i), batch.column("h").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "h", "x"])
 
@@ -119,11 +122,13 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, sample: int = SAMPLE, families: dict[str, tuple[str, ...]] = FAMILIES) -> LanguageModel:
     """Models from (doc_id, text, lang); rows with a null are left out. No rows: a model that says ``und``.
 
-    Of each language the ``sample`` rows with the smallest hash of doc_id are taken, whole texts: first the counts,
-    then a filter on the hash that a little more than enough rows pass, so no sort of the table is needed.
+    Of each language the ``sample`` rows (fewer beyond ``SAMPLE_ALL`` in all) with the smallest hash of doc_id are taken,
+    whole texts: first the counts, then a filter on the hash that a little more than enough rows pass, so no sort of the
+    table is needed.
     """
     rows = labelled.where("doc_id is not null and text is not null and text <> '' and lang is not null").select("lang", "text", F.abs(F.xxhash64(F.col("doc_id").cast("string")) % 1_000_003).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sample = max(1, min(sample, SAMPLE_ALL // max(1, len(counts))))
     few = F.lit(False)
     for lang, n in counts.items():
         few = few | ((F.col("lang") == lang) & (F.col("h") < int(1_000_003 * min(1.0, (1.2 * sample + 50) / n)) + 1))
@@ -149,7 +154,7 @@ def _predict(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.text_bytes(batch.column("text"))
-            for i, j in tb.chunks(offsets):
+            for i, j in tb.chunks(offsets, rows=ROWS):
                 d, part = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 lang, score = model.predict(features(d, part))
                 none = ~letters(d, part)

@@ -6,7 +6,6 @@ to another rate, and features. Texts stand in for recordings: their UTF-8 bytes
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import textbatch as tb
 
 UNIT, FILL, BLOCK = 576, 255, 64
+#: Samples that are resampled or measured at once.
+PART = 1 << 18
 MULAW, ALAW = 7, 6
 _HEAD = struct.Struct("<4sI4s4sIHHIIHHH4sII4sI")
 
@@ -69,14 +70,26 @@ def adpcm(blocks: np.ndarray) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Linear resampling in whole numbers, so that every machine gives the same samples."""
+    """Linear resampling in whole numbers, so that every machine gives the same samples; a bounded part at a time."""
     if source == target or not len(pcm):
         return pcm
-    n = len(pcm) * target // source
-    at = np.arange(n, dtype=np.int64) * source
-    i, part = at // target, at % target
-    x = pcm.astype(np.int64)
-    return ((x[i] * (target - part) + x[np.minimum(i + 1, len(x) - 1)] * part) // target).astype(np.int16)
+    out = np.empty(len(pcm) * target // source, np.int16)
+    for low in range(0, len(out), PART):
+        at = np.arange(low, min(len(out), low + PART), dtype=np.int64) * source
+        i, part = at // target, at % target
+        x, y = pcm[i].astype(np.int64), pcm[np.minimum(i + 1, len(pcm) - 1)].astype(np.int64)
+        out[low : low + len(at)] = (x * (target - part) + y * part) // target
+    return out
+
+
+def measures(pcm: np.ndarray) -> tuple[int, int]:
+    """Root mean square and sign changes, a bounded part at a time."""
+    total = turns = 0
+    for low in range(0, len(pcm), PART):
+        x = pcm[low : low + PART + 1].astype(np.int64)
+        turns += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        total += int(np.dot(x[:PART], x[:PART]))
+    return int(np.sqrt(total // max(1, len(pcm)))), turns
 
 
 def wav(payload: bytes, law: int = MULAW, rate: int = 8000) -> bytes:
@@ -99,53 +112,67 @@ def pack(text: np.ndarray) -> bytes:
     return text.tobytes() + bytes([FILL]) * (n - len(text))
 
 
-def _media(keep: bool, law: int, target: int):
-    table = MULAW_PCM if law == MULAW else ALAW_PCM
+def _peaks(back: bytes) -> tuple[int, int]:
+    """Peaks of all blocks and of the first one, of the payload as ADPCM blocks; a bounded part of the blocks at a time."""
+    blocks = np.frombuffer(back, np.uint8).reshape(-1, BLOCK)
+    step = PART // BLOCK
+    peaks = [int(np.abs(adpcm(blocks[k : k + step]).astype(np.int32)).max()) for k in range(0, len(blocks), step)]
+    return max(peaks), int(np.abs(adpcm(blocks[:1]).astype(np.int32)).max())
+
+
+def _media(law: int, target: int):
+    tables = {MULAW: MULAW_PCM, ALAW: ALAW_PCM}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.text_bytes(batch.column("text"))
             for i, j in tb.chunks(offsets):
-                rows: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "pcm")}
-                backs = []
+                sizes, medias, pcms, features, backs = [], [], [], [], []
                 for r in range(i, j):
                     media = wav(pack(data[offsets[r] : offsets[r + 1]]), law)
-                    back, _, rate = read_wav(media)
+                    back, stored, rate = read_wav(media)
+                    samples = np.frombuffer(back, np.uint8)
+                    pcm = resample(tables[stored][samples], rate, target)
+                    loud, turns = measures(pcm)
+                    other = measures(tables[ALAW if stored == MULAW else MULAW][samples])[0]
+                    pcm = pcm.astype("<i2").tobytes()
+                    sizes.append(int(offsets[r + 1] - offsets[r]))
+                    medias.append(media)
+                    pcms.append(pcm)
                     backs.append(back)
-                    pcm = resample(table[np.frombuffer(back, np.uint8)], rate, target)
-                    rows["n_bytes"].append(int(offsets[r + 1] - offsets[r]))
-                    rows["payload_bytes"].append(len(back))
-                    rows["payload_sha256"].append(hashlib.sha256(back).hexdigest())
-                    rows["tail_crc32"].append(zlib.crc32(back[-32:]))
-                    rows["media_bytes"].append(len(media))
-                    rows["media_sha256"].append(hashlib.sha256(media).hexdigest())
-                    x = pcm.astype(np.int64)
-                    rows["feature"].append(f"pcm{target}:{len(pcm)}:{int(np.sqrt(np.dot(x, x) // max(1, len(x))))}:{int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))}:{zlib.crc32(pcm.tobytes()):08x}")
-                    rows["media"].append(media if keep else None)
-                    rows["pcm"].append(pcm.astype("<i2").tobytes() if keep else None)
-                # the same bytes as ADPCM blocks of 64, all texts of the run at once
-                blocks = np.frombuffer(b"".join(backs), np.uint8).reshape(-1, BLOCK)
-                peaks = np.abs(adpcm(blocks).astype(np.int32)).max(axis=1)
-                at = np.cumsum([0, *(len(b) // BLOCK for b in backs)])[:-1]
-                for r, peak in enumerate(np.maximum.reduceat(peaks, at)):
-                    rows["feature"][r] += f";adpcm:{int(peak)}:{int(peaks[at[r]])}"
-                names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media", "pcm"] if keep else [])]
-                kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media": pa.binary(), "pcm": pa.binary()}
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), *(pa.array(rows[k], kinds.get(k, pa.string())) for k in names)], ["doc_id", *names])
+                    features.append(f"pcm{target}:{len(pcm) // 2}:{loud}:{turns}:{zlib.crc32(pcm):08x};other-law:{other}")
+                if j - i > 1:  # the same bytes as ADPCM blocks of 64, all texts of the run at once
+                    peaks = np.abs(adpcm(np.frombuffer(b"".join(backs), np.uint8).reshape(-1, BLOCK)).astype(np.int32)).max(axis=1)
+                    at = np.cumsum([0, *(len(b) // BLOCK for b in backs)])[:-1]
+                    found = zip(np.maximum.reduceat(peaks, at).tolist(), peaks[at].tolist(), strict=True)
+                else:
+                    found = [_peaks(backs[0])]
+                features = [f"{f};adpcm:{a}:{b}" for f, (a, b) in zip(features, found, strict=True)]
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(medias, pa.binary()), pa.array(pcms, pa.binary()), pa.array(features, pa.string())], ["doc_id", "n_bytes", "media", "pcm", "feature"])
 
     return run
 
 
-def audio_columns(docs: DataFrame, keep: bool = True, law: int = MULAW, target: int = 16000) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text) as a recording: digests, a feature and, with ``keep``, ``media`` and ``pcm``.
+def audio_columns(docs: DataFrame, law: int = MULAW, target: int = 16000) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text) as a recording: (doc_id, n_bytes, media, pcm, feature).
 
-    Stored is ``media`` (WAV, 8-bit mu-law or A-law); every other column comes from the bytes read back out of it.
-    pcm is 16-bit little endian at ``target`` samples a second. feature: rate, samples, root mean square, sign changes
-    and CRC of the PCM, then the peak and the first block's peak of the payload decoded as ADPCM blocks of 64 bytes.
+    Stored is ``media`` (WAV, 8-bit mu-law or A-law) and ``pcm``, expanded from the bytes read back out of it, 16 bits
+    little endian, resampled to ``target`` samples a second. feature, from the bytes read back too: rate, samples, root
+    mean square, sign changes and CRC of the PCM; the root mean square under the other law's table; the peak and the
+    first block's peak of the payload decoded as ADPCM blocks of 64 bytes.
 
     * null text: as empty, 576 bytes of 255; equal texts give equal values; repeated rows and null ids are kept;
     * texts of any length are read whole, runs of about 1 MB at a time; other columns are ignored; no rows, no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + ", media binary, pcm binary" * keep
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_media(keep, law, target), schema)
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return text.mapInArrow(_media(law, target), f"doc_id {kind}, n_bytes bigint, media binary, pcm binary, feature string")
+
+
+def digests(audio: DataFrame) -> DataFrame:
+    """Digest columns of ``audio_columns``' rows, from the stored media and PCM: the payload is what follows the header."""
+    payload = F.expr(f"substring(media, {_HEAD.size + 1}, length(media) - {_HEAD.size})")
+    return audio.withColumn("payload", payload).select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -32)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"),
+    )

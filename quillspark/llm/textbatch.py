@@ -35,11 +35,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of values with about ``limit`` bytes; a longer value stands alone."""
+def chunks(offsets: np.ndarray, limit: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of at most ``rows`` values with about ``limit`` bytes; a longer value stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield i, j
         i = j
 
