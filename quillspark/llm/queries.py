@@ -30,7 +30,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_read(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings()))
+    docs = _read(spark, sf_dir, "documents")
+    words = secrets.corpus_words(docs)
+    found = secrets.scan(docs, secrets.fit(secrets.labelled_findings(words), words), words)
     return found.select("doc_id", "position", "length", F.md5("value").alias("value_md5"), "score", "is_secret")
 
 
@@ -39,7 +41,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.audio_columns(_read(spark, sf_dir, "documents"), keep=False)
+    return telephony.digests(telephony.audio_columns(_read(spark, sf_dir, "documents")))
 
 
 def op5_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
