@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +11,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import geom
 from quillspark.functions import text as T
-from quillspark.operators.folds import _group
+from quillspark.operators.folds import line_blocks
 from quillspark.operators.layout import PAGE, column_mode
 
-MARKER = r"^\s*(?:[•·◦‣▪●▸‧]|[(\[（【]?(?:\d{1,2}|[ivxIVX]{1,4}|[a-hA-H])[.)\]）】、])\s*"
 _CAPTION, _REF = re.compile(r"(?i)^(fig(ure)?\.?\s|table\s)"), re.compile(r"(?i)^\[\d+\]|references[\s.:]*$")
 
 
@@ -36,10 +36,10 @@ def list_groups(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Runs of list items of one kind in rows (key, i, text): (key, first, tag, n, items), markers stripped."""
     t = F.col("text")
     item = t.rlike(T.LIST_ITEM) & ~t.rlike(T.CAPTION) & ~t.rlike(T.REFERENCE)
-    tag = F.when(item & t.rlike(r"^\s*[•·◦‣▪●▸‧]"), "ul").when(item, "ol").otherwise("")
+    tag = F.when(item & t.rlike(rf"^\s*[{T.BULLETS}]"), "ul").when(item, "ol").otherwise("")
     w = Window.partitionBy(key).orderBy("i")
     runs = blocks.withColumn("tag", F.coalesce(tag, F.lit(""))).withColumn("new", (F.coalesce(F.lag("tag").over(w), F.lit("?")) != F.col("tag")).cast("int")).withColumn("run", F.sum("new").over(w))
-    items = F.array_sort(F.collect_list(F.struct("i", F.regexp_replace("text", MARKER, "").alias("x"))))
+    items = F.array_sort(F.collect_list(F.struct("i", F.regexp_replace("text", T.LIST_LABEL, "").alias("x"))))
     out = runs.where("tag <> ''").groupBy(key, "run", "tag").agg(F.min("i").alias("first"), F.count("*").alias("n"), items.alias("s"))
     return out.select(key, "first", "tag", "n", F.transform("s", lambda s: s.x).alias("items"))
 
@@ -63,69 +63,91 @@ def link_owners(links: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return links.select(*PAGE, "link").join(best, [*PAGE, "link"], "left").select(*PAGE, "link", F.col("x.para").alias("owner"))
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    paras: list[dict] = []
+@dataclass
+class _Para:
+    """A paragraph as it grows: its text, its lines, the characters of each size in the order of their appearance."""
+
+    col: int
+    text: str
+    caption: bool
+    ref: bool
+    weights: dict[float, int]
+    box: tuple[float, float, float, float]
+    n: int = 1
+
+    def take(self, line: _Para, text: str) -> None:
+        for size, n in line.weights.items():
+            self.weights[size] = self.weights.get(size, 0) + n
+        pairs = zip(self.box, line.box, (min, min, max, max), strict=True)
+        self.text, self.n, self.box = text, self.n + 1, tuple(pick(a, b) for a, b, pick in pairs)
+
+
+class _Measures:
+    """What the rules ask of a paragraph and the line after it."""
+
+    def __init__(self, p: _Para, b: _Para):
+        (px0, py0, px1, py1), (bx0, by0, bx1, by1) = p.box, b.box
+        wide, high = max(0.0, min(px1, bx1) - max(px0, bx0)), max(0.0, min(py1, by1) - max(py0, by0))
+        self.size = max(p.weights, key=p.weights.get)
+        self.size_step = abs(self.size - next(iter(b.weights)))
+        self.gap, self.overlap = by0 - py1, wide / max(1.0, min(px1 - px0, bx1 - bx0))
+        self.of_para, self.of_line = (wide * high / max((c - a) * (d - e), 1e-9) for a, e, c, d in (p.box, b.box))
+        self.para, self.line, self.both = len(p.text), len(b.text), len(p.text) + len(b.text) + 1
+        self.text = not (p.caption or b.caption) and p.col == b.col
+        self.plain, self.after_ref = self.text and not (p.ref or b.ref), self.text and p.ref and not b.ref
+        self.left = bx0 <= px0 + 2
+
+
+#: Ways in which a line joins the paragraph before it, the first that fits, with the text of both.
+SHORT, CAP, REF_CAP = 120, 500, 800
+JOINS = (
+    (lambda m: m.plain and m.line <= SHORT and m.of_line >= 0.85 and m.size_step <= 1.5 and m.left, "{1} {0}"),
+    (lambda m: m.plain and m.line <= SHORT and m.of_line >= 0.85 and m.size_step <= 1.5, "{0} {1}"),
+    (lambda m: m.plain and m.para <= SHORT < m.line and m.of_para >= 0.85 and m.size_step <= 1.5, "{0} {1}"),
+    (lambda m: m.after_ref and 0 <= m.gap < 2 * m.size and m.overlap > 0.5 and m.both <= REF_CAP, "{0}\n{1}"),
+    (lambda m: m.plain and 0 <= m.gap < 1.5 * m.size and m.overlap > 0.6 and m.both <= CAP and (min(m.para, m.line) > SHORT or m.size_step <= 0.25), "{0}\n{1}"),
+)
+
+
+def _paragraphs(pdf: pd.DataFrame) -> pd.DataFrame:
+    done: list[_Para] = []
     for r in pdf.sort_values(["col", "y0", "x0", "pi"], kind="stable").itertuples():
-        cap, ref, text = bool(_CAPTION.match(r.text)), bool(_REF.search(r.text)), r.text
-        p, how = paras[-1] if paras else None, ""
-        if p and p["col"] == r.col and not cap and not p["cap"]:
-            size = max(p["sizes"], key=p["sizes"].get)
-            gap, n = r.y0 - p["y1"], len(p["text"]) + len(text) + 1
-            w = max(0.0, min(p["x1"], r.x1) - max(p["x0"], r.x0))
-            both = w * max(0.0, min(p["y1"], r.y1) - max(p["y0"], r.y0))
-            over = w / max(1.0, min(p["x1"] - p["x0"], r.x1 - r.x0))
-            plain = not ref and not p["ref"]
-            close = plain and abs(size - r.size) <= 1.5
-            if close and len(text) <= 120 and both >= 0.85 * max((r.x1 - r.x0) * (r.y1 - r.y0), 1e-9):
-                how = "before" if r.x0 <= p["x0"] + 2 else "after"
-            elif close and len(p["text"]) <= 120 < len(text) and both >= 0.85 * max((p["x1"] - p["x0"]) * (p["y1"] - p["y0"]), 1e-9):
-                how = "after"
-            elif p["ref"] and not ref and 0 <= gap < 2 * size and over > 0.5 and n <= 800:
-                how = "line"
-            elif plain and 0 <= gap < 1.5 * size and over > 0.6 and n <= 500 and not (min(len(text), len(p["text"])) <= 120 and abs(size - r.size) > 0.25):
-                how = "line"
-        if not how:
-            paras.append({"col": r.col, "text": text, "cap": cap, "ref": ref, "n": 1, "sizes": {r.size: len(text)}, "x0": r.x0, "y0": r.y0, "x1": r.x1, "y1": r.y1})
-            continue
-        p["text"] = {"before": f"{text} {p['text']}", "after": f"{p['text']} {text}", "line": f"{p['text']}\n{text}"}[how]
-        p["sizes"][r.size] = p["sizes"].get(r.size, 0) + len(text)
-        p.update(n=p["n"] + 1, x0=min(p["x0"], r.x0), y0=min(p["y0"], r.y0), x1=max(p["x1"], r.x1), y1=max(p["y1"], r.y1))
-    doc, pno = pdf["doc_id"].iloc[0], pdf["pno"].iloc[0]
-    rows = [(doc, pno, k, p["col"], p["n"], p["text"], p["cap"], p["ref"], p["x0"], p["y0"], p["x1"], p["y1"]) for k, p in enumerate(paras)]
-    return pd.DataFrame(rows, columns=["doc_id", "pno", "para", "col", "n_lines", "text", "is_caption", "is_ref", "x0", "y0", "x1", "y1"])
+        line = _Para(r.col, r.text, bool(_CAPTION.match(r.text)), bool(_REF.search(r.text)), {r.size: len(r.text)}, (r.x0, r.y0, r.x1, r.y1))
+        seen = _Measures(done[-1], line) if done else None
+        joined = next((form for fits, form in JOINS if seen and fits(seen)), None)
+        if joined is None:
+            done.append(line)
+        else:
+            done[-1].take(line, joined.format(done[-1].text, line.text))
+    page = pdf["doc_id"].iloc[0], pdf["pno"].iloc[0]
+    return pd.DataFrame([(*page, k, p.col, p.n, p.text, p.caption, p.ref, *p.box) for k, p in enumerate(done)], columns=["doc_id", "pno", "para", "col", "n_lines", "text", "is_caption", "is_ref", "x0", "y0", "x1", "y1"])
 
 
 def paragraph_merge(lines: DataFrame) -> DataFrame:
     """Paragraphs of each page from lines (doc_id, pno, pi, col, text, size, x0, y0, x1, y1): contained pieces, reference
-    continuations and normal continuations join the paragraph before them; captions stay alone."""
-    return lines.groupBy(*PAGE).applyInPandas(_merge, "doc_id long, pno int, para int, col int, n_lines int, text string, is_caption boolean, is_ref boolean, x0 double, y0 double, x1 double, y1 double")
+    continuations and normal continuations join the paragraph before them; captions stay alone. ``is_verbatim`` tells that
+    what a paragraph became is a formula fragment or a line of an algorithm, which is not translated."""
+    out = lines.groupBy(*PAGE).applyInPandas(_paragraphs, "doc_id long, pno int, para int, col int, n_lines int, text string, is_caption boolean, is_ref boolean, x0 double, y0 double, x1 double, y1 double")
+    spans = F.array().cast("array<struct<text:string,font:string,flags:int>>")
+    verbatim = T.math_fragment(F.col("text")) | T.algorithm_rest(F.col("text"), spans)
+    return out.withColumn("is_verbatim", ~F.col("is_caption") & ~F.col("is_ref") & verbatim)
 
 
-def _split(width: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(width) + 1
-        cover = [0] * (n + 1)
-        for r in pdf.itertuples():
-            for x in range(max(0, int(r.x0)), min(n, int(r.x1) + 1)):
-                cover[x] = 1
-        cuts, start = [], None
-        for x in range(int(0.08 * width), int(0.92 * width) + 1):
-            if not cover[x]:
-                start = x if start is None else start
-            elif start is not None:
-                if x - start >= max(6, 0.06 * width):
-                    cuts.append((start + x) / 2)
-                start = None
-        column = [sum((r.x0 + r.x1) / 2 >= c for c in cuts) for r in pdf.itertuples()]
-        parts = [_group(g).assign(col=k) for k, g in pdf.groupby(column, sort=True)]
-        return pd.concat(parts)[["doc_id", "pno", "col", "block", "x0", "y0", "x1", "y1", "n_lines"]]
-
-    return run
+def region_split(lines: DataFrame, width: float | Column) -> DataFrame:
+    """Blocks of OCR lines column by column, (page, col, block, x0, y0, x1, y1, n_lines).
 
-
-def region_split(lines: DataFrame, width: float) -> DataFrame:
-    """Blocks of OCR lines column by column; columns are cut in the middle of uncovered stripes of x."""
-    return lines.groupBy(*PAGE).applyInPandas(_split(width), "doc_id long, pno int, col int, block int, x0 double, y0 double, x1 double, y1 double, n_lines int")
+    Columns are cut in the middle of stripes that no line covers: at least 6 points and 6 % of the page wide, between 8 and
+    92 % of it, with a line to their right. Stripes are the steps between a line and what reaches furthest before it.
+    """
+    width = F.lit(width) if isinstance(width, float) else width
+    low, high = F.greatest(F.lit(0), F.floor("x0")), F.floor("x1")
+    w = Window.partitionBy(*PAGE).orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.greatest(F.coalesce(F.max(high).over(w), F.lit(-1)) + 1, F.floor(0.08 * width))
+    stripe = (low - begin >= F.greatest(F.lit(6.0), 0.06 * width)) & (low <= F.floor(0.92 * width))
+    cut = lines.withColumn("cut", F.when(stripe, (begin + low) / 2))
+    cut = cut.withColumn("cuts", F.collect_list("cut").over(Window.partitionBy(*PAGE)))
+    column = F.size(F.filter("cuts", lambda c: (F.col("x0") + F.col("x1")) / 2 >= c)).cast("int")
+    return line_blocks(cut.withColumn("col", column), [*PAGE, "col"])
 
 
 def _figures(width: float, height: float):

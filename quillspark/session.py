@@ -24,8 +24,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder of ``spark.checkpoint.dir``, which cuts the lineage; a local folder if it is unset."""
+    """The rows written to the shared folder of ``spark.checkpoint.dir``, which cuts the lineage; in a local session a new folder if it is unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint()
