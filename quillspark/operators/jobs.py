@@ -10,19 +10,26 @@ from pyspark.sql import functions as F
 
 
 def snapshot(events: DataFrame, keep: int = 40) -> DataFrame:
-    """State of each job: last kind, events, and its latest ``keep`` warnings, oldest first."""
-    return events.groupBy("job").agg(
-        F.max_by("kind", "event_id").alias("status"),
-        F.count("*").alias("n_events"),
-        F.array_join(F.transform(F.reverse(F.slice(F.sort_array(F.collect_list(F.when(F.col("kind") == "error", F.struct("event_id", "msg"))), False), 1, keep)), lambda x: x.msg.cast("string")), ",").alias("warnings"),
-    )
+    """State of each job: last kind, events, and its latest ``keep`` warnings, oldest first.
+
+    The latest warnings are a limit by group, which each task applies before the exchange; a hot job sends few rows.
+    """
+    state = events.groupBy("job").agg(F.max_by("kind", "event_id").alias("status"), F.count("*").alias("n_events"))
+    w = Window.partitionBy("job").orderBy(F.desc("event_id"))
+    last = events.where("kind = 'error'").select("job", "event_id", "msg", F.row_number().over(w).alias("n")).where(F.col("n") <= keep)
+    told = last.groupBy("job").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "msg"))), lambda x: x.msg.cast("string")), ",").alias("warnings"))
+    return state.join(told, "job", "left").withColumn("warnings", F.coalesce("warnings", F.lit("")))
 
 
 def replay(events: DataFrame, last: int, ring: int = 1000) -> DataFrame:
-    """Events of each job's ring of the newest ``ring``, numbered from 1, after number ``last``."""
-    w = Window.partitionBy("job").orderBy("event_id")
-    n = events.withColumn("eid", F.row_number().over(w)).withColumn("total", F.count("*").over(Window.partitionBy("job")))
-    return n.where((F.col("eid") > last) & (F.col("eid") > F.col("total") - ring)).drop("total")
+    """Events of each job's ring of the newest ``ring``, numbered from 1, after number ``last``.
+
+    Numbers count down from the job's total, so that a limit by group keeps a hot job's exchange at its ring.
+    """
+    w = Window.partitionBy("job").orderBy(F.desc("event_id"))
+    newest = events.withColumn("back", F.row_number().over(w)).where(F.col("back") <= ring)
+    total = events.groupBy("job").agg(F.count("*").alias("total"))
+    return newest.join(total, "job").withColumn("eid", (F.col("total") - F.col("back") + 1).cast("int")).where(F.col("eid") > last).drop("total", "back")
 
 
 def first_warnings(events: DataFrame) -> DataFrame:

@@ -48,6 +48,26 @@ def upper_median(values: Column) -> Column:
     return F.coalesce(F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int")), F.lit(10.0))
 
 
+def counted_percentiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(keys, names): exact, interpolated percentiles of columns, {name: (column, share)}, rounded to 6 places.
+
+    Values are counted first, so that a few large groups send each value once from a task, and not each row.
+    """
+    columns = sorted({c for c, _ in wanted.values()})
+    long = rows.select(*keys, F.inline(F.array(*(F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__v")) for c in columns)))).where("__v is not null")
+    counts = long.groupBy(*keys, "__c", "__v").agg(F.count("*").alias("__n"))
+    pick = [F.round(F.percentile(F.when(F.col("__c") == c, F.col("__v")), F.lit(q), F.when(F.col("__c") == c, F.col("__n")).otherwise(F.lit(1).cast("long"))), 6).alias(name) for name, (c, q) in wanted.items()]
+    return counts.groupBy(*keys).agg(*pick)
+
+
+def template_quantiles(lines: DataFrame, keys: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """(keys, x0_q06, …, n): quantiles of the four corners of all lines' boxes."""
+    corners = ("x0", "y0", "x1", "y1")
+    wanted = {f"{c}_q{int(q * 100):02d}": (c, q) for c in corners for q in shares}
+    quantiles = counted_percentiles(lines.select(*keys, "bbox.*"), keys, wanted)
+    return quantiles.join(lines.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+
+
 def next_below(lines: DataFrame) -> DataFrame:
     """Of each line the nearest line below in its column with a fifth of x-overlap; joins carry the page as equal key."""
     a, b = lines.alias("a"), lines.select(*PAGE, F.col("col").alias("b_col"), F.col("pi").alias("b_pi"), F.col("bbox").alias("b_box")).alias("b")

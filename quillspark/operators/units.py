@@ -2,28 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+class _Bins:
+    """Bins in the order in which they were opened; the first with room is found in a tree of the greatest rooms."""
+
+    def __init__(self, budget: int, size: int):
+        self.budget, self.size, self.leaves, self.room = budget, size, 1, [-1, -1]
+        self.bins: list[tuple[int, list[int]]] = []
+
+    def _set(self, k: int, room: int) -> None:
+        k += self.leaves
+        self.room[k] = room
+        while k := k // 2:
+            self.room[k] = max(self.room[2 * k], self.room[2 * k + 1])
+
+    def place(self, i: int, n: int) -> None:
+        need, k = n if self.budget > 0 else 0, 1
+        if self.room[1] < need:
+            if len(self.bins) == self.leaves:
+                old = self.room[self.leaves :]
+                self.leaves *= 2
+                self.room = [-1] * self.leaves + old + [-1] * len(old)
+                for j in range(self.leaves - 1, 0, -1):
+                    self.room[j] = max(self.room[2 * j], self.room[2 * j + 1])
+            self.bins.append((0, []))
+            k = len(self.bins) - 1
+        else:
+            while k < self.leaves:
+                k = 2 * k if self.room[2 * k] >= need else 2 * k + 1
+            k -= self.leaves
+        chars, items = self.bins[k]
+        items.append(i)
+        self.bins[k] = (chars + n, items)
+        self._set(k, -1 if len(items) >= self.size else max(-1, self.budget - chars - n) if self.budget > 0 else 0)
+
+
 def first_fit(units: DataFrame, keys: list[str], order: str, length: str, budget: int, size: int) -> DataFrame:
     """Units of each key into batches: (keys, batch_no, chars, units, items).
 
     In order, a unit goes into the first batch with fewer than ``size`` units and room for its characters, else into a
-    new one; a unit over the budget is alone; budget 0 only counts units. A fold over each key's own units.
+    new one; a unit over the budget is alone; budget 0 only counts units. The batches of one key are carried along the
+    sorted partition; a unit takes time with the logarithm of their number.
     """
-    rows = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("int").alias("i"), F.col(length).cast("bigint").alias("n")))).alias("us"))
-    kind = "array<struct<chars:bigint,units:int,items:string>>"
+    rows = units.select(*keys, F.col(order).cast("int").alias("i"), F.col(length).cast("bigint").alias("n")).repartition(*keys).sortWithinPartitions(*keys, "i")
+    kinds = ", ".join(f"{k} {units.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        present, bins, out = None, None, []
 
-    def place(state: Column, u: Column) -> Column:
-        fits = lambda b: (b.units < size) & ((b.chars + u.n <= budget) if budget > 0 else F.lit(True))
-        at = F.array_position(F.transform(state, fits), F.lit(True))
-        grown = F.transform(state, lambda b, i: F.when(i + 1 == at, F.struct((b.chars + u.n).alias("chars"), (b.units + 1).alias("units"), F.concat(b["items"], F.lit(","), u.i.cast("string")).alias("items"))).otherwise(b))
-        new = F.array(F.struct(u.n.alias("chars"), F.lit(1).alias("units"), u.i.cast("string").alias("items")))
-        return F.when(at > 0, grown).otherwise(F.concat(state, new)).cast(kind)
+        def close() -> None:
+            if bins is not None:
+                out.extend((*present, b, chars, len(items), ",".join(map(str, items))) for b, (chars, items) in enumerate(bins.bins))
 
-    packed = rows.select(*keys, F.aggregate("us", F.array().cast(kind), place).alias("bs"))
-    return packed.select(*keys, F.posexplode("bs").alias("batch_no", "b")).select(*keys, "batch_no", "b.chars", "b.units", "b.items")
+        for pdf in batches:
+            for *key, i, n in pdf.itertuples(index=False, name=None):
+                if key != present:
+                    close()
+                    present, bins = key, _Bins(budget, size)
+                bins.place(i, n)
+            yield pd.DataFrame(out, columns=[*keys, "batch_no", "chars", "units", "items"])
+            out = []
+        close()
+        yield pd.DataFrame(out, columns=[*keys, "batch_no", "chars", "units", "items"])
+
+    return rows.mapInPandas(run, f"{kinds}, batch_no int, chars bigint, units int, items string")
 
 
 def unique_units(units: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -50,11 +98,22 @@ def keep_newest(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
-def over_bytes(rows: DataFrame, by: list[str], size: Column, order: list[Column], limit: int) -> DataFrame:
-    """Rows that retention deletes in each group: oldest first, while the group is over ``limit`` bytes."""
-    w = Window.partitionBy(*by)
-    before = F.coalesce(F.sum(size).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("__over", F.sum(size).over(w) - limit).withColumn("__before", before).where(F.col("__before") < F.col("__over")).drop("__over", "__before")
+def over_bytes(rows: DataFrame, by: list[str], size: Column, order: list[str], limit: int, pieces: int = 1024) -> DataFrame:
+    """Rows that retention deletes in each group: oldest first, while the group is over ``limit`` bytes.
+
+    ``order`` begins with a number. Its range in a group is cut into ``pieces`` of equal width; sums of the pieces come from
+    a partial aggregation, and each row's place in its piece from a window over the piece: a group is never in one task.
+    """
+    sized = rows.withColumn("__n", size)
+    ends = sized.groupBy(*by).agg(F.min(order[0]).alias("__low"), F.max(order[0]).alias("__high"), F.sum("__n").alias("__all"))
+    at = F.floor((F.col(order[0]) - F.col("__low")) * pieces / (F.col("__high") - F.col("__low") + 1))
+    cut = sized.join(ends, by).withColumn("__piece", at)
+    sums = cut.groupBy(*by, "__piece").agg(F.sum("__n").alias("__sum"))
+    lead = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "__piece", F.coalesce(F.sum("__sum").over(lead), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy(*by, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.where(F.col("__all") > limit).join(sums, [*by, "__piece"]).withColumn("__before", F.col("__base") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    return out.where(F.col("__before") < F.col("__all") - limit).select(*rows.columns)
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -104,8 +104,7 @@ _Q = ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_q{int(q * 100):02d}" f
 
 @query("page_template_quantiles", LINES_SQL + f"SELECT two, col, {_Q}, count(*) AS n FROM v GROUP BY 1, 2")
 def page_template_quantiles(spark, d):
-    qs = [F.round(F.percentile(F.col("bbox").getField(c), F.lit(q)), 6).alias(f"{c}_q{int(q * 100):02d}") for c in ("x0", "y0", "x1", "y1") for q in (0.06, 0.94)]
-    return lines_of(spark, d).groupBy("two", "col").agg(*qs, F.count("*").alias("n"))
+    return layout.template_quantiles(lines_of(spark, d), ["two", "col"], (0.06, 0.94))
 
 
 @query("median_height_upper", LINES_SQL + "SELECT doc_id, pno, list_sort(list(x1 - x0))[len(list(x1)) // 2 + 1] AS mid_width FROM v GROUP BY 1, 2")
@@ -129,9 +128,11 @@ def paragraph_islands(spark, d):
 @query("jitter_stats", LINES_SQL + """, g AS (SELECT two, col, y0 - lag(y1) OVER w AS gap, y0 - lag(y0) OVER w AS pitch FROM v WINDOW w AS (PARTITION BY doc_id, pno, col ORDER BY pi))
 SELECT two, col, count(gap) AS n, round(median(gap), 6) AS mid, round(avg(gap), 6) AS mean, round(stddev_pop(gap), 6) AS dev, round(var_pop(pitch), 6) AS var, max(gap) - min(gap) AS width FROM g GROUP BY 1, 2""")
 def jitter_stats(spark, d):
-    g = layout.line_gaps(lines_of(spark, d))
+    g = layout.line_gaps(lines_of(spark, d)).select("two", "col", "gap", "pitch")
     r = lambda c: F.round(c, 6)
-    return g.groupBy("two", "col").agg(F.count("gap").alias("n"), r(F.median("gap")).alias("mid"), r(F.avg("gap")).alias("mean"), r(F.stddev_pop("gap")).alias("dev"), r(F.var_pop("pitch")).alias("var"), (F.max("gap") - F.min("gap")).alias("width"))
+    out = g.groupBy("two", "col").agg(F.count("gap").alias("n"), r(F.avg("gap")).alias("mean"), r(F.stddev_pop("gap")).alias("dev"), r(F.var_pop("pitch")).alias("var"), (F.max("gap") - F.min("gap")).alias("width"))
+    mid = layout.counted_percentiles(g, ["two", "col"], {"mid": ("gap", 0.5)})
+    return out.join(mid, ["two", "col"], "left")
 
 
 _REG = "(SELECT doc_id, pno, unnest([0, 1]) AS region, unnest([100.0, 300.0]) AS rx0, unnest([150.0, 400.0]) AS ry0, unnest([300.0, 500.0]) AS rx1, unnest([350.0, 700.0]) AS ry1 FROM (SELECT DISTINCT doc_id, pno FROM v))"

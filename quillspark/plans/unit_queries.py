@@ -48,7 +48,7 @@ def cache_retention_count(spark, d):
 FROM (SELECT page_id, page_id % 16 AS h, CAST(strlen(html) AS BIGINT) AS n FROM pages)) WHERE before < over""")
 def cache_retention_bytes(spark, d):
     rows = table(spark, d, "pages").select("page_id", (F.col("page_id") % 16).alias("h"), F.octet_length("html").cast("long").alias("n"))
-    return units.over_bytes(rows, ["h"], F.col("n"), [F.col("page_id")], 20_000)
+    return units.over_bytes(rows, ["h"], F.col("n"), ["page_id"], 20_000)
 
 
 @query("upsert_latest", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
