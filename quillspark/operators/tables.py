@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import geom
 from quillspark.operators.layout import PAGE
+from quillspark.operators.wrapping import alike as alike_texts
 
 TABLE = [*PAGE, "tbl"]
 NUMERIC = r"^[0-9.,%]+$"
@@ -86,19 +88,24 @@ def crosspage_tables(tables: DataFrame, height: float) -> DataFrame:
     """Tables that go on on the next page: (doc_id, pno, tbl, from_pno, from_tbl, gid).
 
     ``tables`` are (doc_id, pno, tbl, y0, y1, head, anchors array<double>). The lowest table of a page, if it starts below
-    55 % of the page, and the highest one of the next, if it ends above 45 %, are linked where the first row is alike (edit
-    distance under a fifth of the longer one) or 70 % of the left edges agree within 2 points. ``gid`` is the number of
-    the page on which the chain of links starts.
+    55 % of the page, and the highest one of the next, if it ends above 45 %, are linked where over 0.8 of both first rows is
+    in matching blocks, or 70 % of the left edges agree within 2 points. ``gid`` is the number of the page on which the chain
+    of links starts. Only pairs at a page break are compared in Python.
     """
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return alike_texts(a, b)
+
+
     pick = tables.withColumn("t", F.struct("tbl", "y0", "y1", "head", "anchors")).groupBy(*PAGE)
     ends = pick.agg(F.max_by("t", F.struct("y0", -F.col("tbl"))).alias("low"), F.min_by("t", F.struct("y0", "tbl")).alias("top"))
     nxt = ends.select("doc_id", (F.col("pno") - 1).alias("pno"), F.col("top").alias("next"))
     low, top = F.col("low"), F.col("next")
-    longest = F.greatest(F.length(low["head"]), F.length(top["head"]))
-    alike = (F.length(low["head"]) > 0) & (F.length(top["head"]) > 0) & (F.levenshtein(F.lower(low["head"]), F.lower(top["head"])) < 0.2 * longest)
     hits = F.size(F.filter(low["anchors"], lambda a: F.exists(top["anchors"], lambda b: F.abs(a - b) <= 2)))
     edges = (F.size(low["anchors"]) > 0) & (hits >= 0.7 * F.size(low["anchors"]))
-    links = ends.join(nxt, PAGE).where((low["y0"] >= 0.55 * height) & (top["y1"] <= 0.45 * height) & F.coalesce(alike | edges, F.lit(False)))
+    pairs = ends.join(nxt, PAGE).where((low["y0"] >= 0.55 * height) & (top["y1"] <= 0.45 * height))
+    alike = (F.length(low["head"]) > 0) & (F.length(top["head"]) > 0) & (F.col("like") > 0.8)
+    links = pairs.withColumn("like", likeness(low["head"], top["head"])).where(F.coalesce(alike | edges, F.lit(False)))
     links = links.select("doc_id", (F.col("pno") + 1).alias("pno"), top["tbl"].alias("tbl"), F.col("pno").alias("from_pno"), low["tbl"].alias("from_tbl"))
     # A chain goes on where the table that ends a page is the one that was carried over to it.
     w = Window.partitionBy("doc_id").orderBy("pno")

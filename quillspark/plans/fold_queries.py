@@ -1,23 +1,33 @@
-"""Queries over folds, most of them on literal fixtures."""
+"""Queries over folds of a page's lines and over replies, each with its SQL twin."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quillspark.operators import folds
 from quillspark.plans.registry import query
 from quillspark.sources.adapters import LINES_SQL, page_lines, table
 
-OCR = [(1, 0, "a", 0, 60.0, 90.0, 300.0, 104.0, "hello w0rld", 0.8), (1, 0, "a", 1, 60.0, 120.0, 300.0, 134.0, "second", 0.9), (1, 0, "b", 0, 60.0, 90.0, 300.0, 104.0, "hello world", 0.95), (1, 0, "b", 1, 60.0, 120.0, 300.0, 134.0, "second", 0.99)]
-REPLIES = [(0, '{"1": "a", "2": "b"}', ["1", "2"]), (1, '{"1": "cut, \\"quoted\\"", "2": "b', ["1", "2"]), (2, "no reply", ["1"]), (3, '{"1": "a", "9": "z"}', ["1"])]
-
-
-@query("ocr_vote", "SELECT * FROM (VALUES (1::BIGINT, 0, 0, 'hello world', 0.95::DOUBLE, true), (1, 0, 1, 'second', 0.99, false)) v(doc_id, pno, i, text, score, conflict)")
+@query("ocr_vote", LINES_SQL + """, e AS (SELECT doc_id, pno, CAST(row_number() OVER (PARTITION BY doc_id, pno ORDER BY pi) - 1 AS INTEGER) AS i, pi, text FROM v)
+SELECT doc_id, pno, i, CASE WHEN pi % 5 <> 3 AND pi % 2 = 1 THEN CASE WHEN pi % 4 = 1 THEN text || '!' ELSE replace(text, ' ', '  ') END ELSE text END AS text, CASE WHEN pi % 5 <> 3 AND pi % 2 = 1 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS score, pi % 5 <> 3 AND pi % 4 = 1 AND pi % 2 = 1 AS conflict FROM e""")
 def ocr_vote(spark, d):
-    return folds.ocr_vote(spark.createDataFrame(OCR, "doc_id long, pno int, engine string, i int, x0 double, y0 double, x1 double, y1 double, text string, score double"))
-
-
-@query("pair_parse", "SELECT * FROM (VALUES (0, '1', 'a'), (0, '2', 'b'), (1, '1', 'cut, \"quoted\"'), (3, '1', 'a')) v(id, key, text)")
+    """Two engines: the second one's lines lie 1 point lower (every fifth one elsewhere), read more or less surely, with wider spaces or a mark more."""
+    b, p, t = F.col("bbox"), F.col("pi"), F.col("text")
+    lines = page_lines(table(spark, d, "documents"))
+    first = lines.select("doc_id", "pno", F.lit("a").alias("engine"), p.alias("i"), "bbox.*", "text", F.lit(0.8).alias("score"))
+    down = F.when(p % 5 == 3, 5000).otherwise(1)
+    other = F.when(p % 4 == 1, F.concat(t, F.lit("!"))).otherwise(F.replace(t, F.lit(" "), F.lit("  ")))
+    second = lines.select("doc_id", "pno", F.lit("b"), p, b.x0, b.y0 + down, b.x1, b.y1 + down, other, F.when(p % 2 == 1, 0.9).otherwise(0.7))
+    return folds.ocr_vote(first.union(second))
+
+
+@query("pair_parse", """SELECT id, unnest(ks) AS key, unnest(vs) AS text FROM (SELECT conv_id * 1000 + turn AS id, CASE turn % 5 WHEN 0 THEN ['1', '2'] WHEN 1 THEN ['1'] WHEN 3 THEN ['1'] END AS ks,
+CASE turn % 5 WHEN 0 THEN ['a' || conv_id, 'b'] WHEN 1 THEN ['cut, "quoted" ' || turn] WHEN 3 THEN ['x'] END AS vs FROM conversations) WHERE ks IS NOT NULL""")
 def pair_parse(spark, d):
-    return folds.pair_parse(spark.createDataFrame(REPLIES, "id int, raw string, wanted array<string>"))
+    text = lambda c: F.col(c).cast("string")
+    k = F.col("turn") % 5
+    raw = F.when(k == 0, F.concat(F.lit('{"1": "a'), text("conv_id"), F.lit('", "2": "b"}'))).when(k == 1, F.concat(F.lit('{"1": "cut, \\"quoted\\" '), text("turn"), F.lit('", "2": "b'))).when(k == 2, "no reply").when(k == 3, 'so: {"1": "x", "9": "z"} end')
+    return folds.pair_parse(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), raw.alias("raw"), F.array(F.lit("1"), F.lit("2")).alias("wanted")))
 
 
 @query("ocr_line_blocks", LINES_SQL + """, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pno ORDER BY y0, x0, pi) AS s FROM v),

@@ -24,14 +24,15 @@ def clean_text(spark, d):
     return docs.union(turns).select("kind", "id", T.clean_text(F.col("text")).alias("clean"))
 
 
-# Rules over one column of 612 points: three of a table with a loose one far below, three further down of which one is short.
-RULES = [(1, 0, 60.0, y, 540.0, y + 1) for y in (100.0, 120.0, 190.0, 400.0)] + [(1, 1, 60.0, y, x, y + 1) for y, x in ((100.0, 540.0), (120.0, 200.0), (150.0, 540.0))]
-
-
-@query("rule_tables", "SELECT * FROM (VALUES (1::BIGINT, 0, 0, 54.0::DOUBLE, 98.0::DOUBLE, 546.0::DOUBLE, 193.0::DOUBLE)) v(doc_id, pno, tbl, x0, y0, x1, y1)")
+@query("rule_tables", LINES_SQL + "SELECT doc_id, pno, 0 AS tbl, 54.0::DOUBLE + doc_id % 3 AS x0, 98.0::DOUBLE AS y0, 546.0::DOUBLE AS x1, 193.0::DOUBLE AS y1 FROM (SELECT DISTINCT doc_id, pno FROM v) WHERE pno % 2 = 0")
 def rule_tables(spark, d):
-    rules = spark.createDataFrame(RULES, "doc_id long, pno int, x0 double, y0 double, x1 double, y1 double")
-    bands = spark.createDataFrame([(1, p, 0, 0.0, 612.0) for p in (0, 1)], "doc_id long, pno int, band int, lo double, hi double")
+    """Four rules on every page, three of them close to each other on even pages; on odd ones the second is short."""
+    left, odd = 60 + F.col("doc_id") % 3, F.col("pno") % 2 == 1
+    pages = page_lines(table(spark, d, "documents")).select("doc_id", "pno").distinct()
+    rule = lambda y, x1: F.struct(left.cast("double").alias("x0"), F.lit(y).alias("y0"), x1.alias("x1"), F.lit(y + 1).alias("y1"))
+    end = F.lit(540.0)
+    rules = pages.select("doc_id", "pno", F.inline(F.array(rule(100.0, end), rule(120.0, F.when(odd, 200.0).otherwise(end)), rule(190.0, end), rule(400.0, end))))
+    bands = pages.select("doc_id", "pno", F.lit(0).alias("band"), F.lit(0.0).alias("lo"), F.lit(612.0).alias("hi"))
     return tables.rule_tables(rules, bands)
 
 
@@ -41,17 +42,22 @@ CELLS += [(1, 0, 1, b, float(x), e, t) for b, n in enumerate(("1.23", "12.345",
 _CELLS = ", ".join(f"(1, 0, {c[2]}, {c[3]}, '{c[6]}', {0.7 if c[2] == 0 and c[3] == 0 else 0.9}::DOUBLE, {c[4]})" for c in CELLS)
 
 
-@query("table_anchor_split", f"SELECT doc_id, pno, tbl, band, CAST(row_number() OVER (PARTITION BY tbl, band ORDER BY x) - 1 AS INTEGER) AS cell, text, conf FROM (VALUES {_CELLS}) v(doc_id, pno, tbl, band, text, conf, x)")
+@query("table_anchor_split", LINES_SQL + f"SELECT p.doc_id, p.pno, tbl, band, CAST(row_number() OVER (PARTITION BY p.doc_id, p.pno, tbl, band ORDER BY x) - 1 AS INTEGER) AS cell, text, conf FROM (SELECT DISTINCT doc_id, pno FROM v) p, (VALUES {_CELLS}) c(a, b, tbl, band, text, conf, x)")
 def table_anchor_split(spark, d):
-    return tables.anchor_split(spark.createDataFrame(CELLS, "doc_id long, pno int, tbl int, band int, x0 double, x1 double, text string"))
+    """Both tables on every page, moved to the right by the document's remainder."""
+    cell = lambda c: F.struct(F.lit(c[2]).alias("tbl"), F.lit(c[3]).alias("band"), (F.lit(c[4]) + F.col("doc_id") % 7).alias("x0"), (F.lit(c[5]) + F.col("doc_id") % 7).alias("x1"), F.lit(c[6]).alias("text"))
+    pages = page_lines(table(spark, d, "documents")).select("doc_id", "pno").distinct()
+    return tables.anchor_split(pages.select("doc_id", "pno", F.inline(F.array(*map(cell, CELLS)))))
 
 
-SPANNING = [(1, 0, 0, 600.0, 780.0, "Method Value", [85.0, 300.0]), (1, 1, 0, 60.0, 200.0, "Method Value", [85.0, 250.0]), (1, 1, 1, 600.0, 780.0, "a b", [85.0, 300.0]), (1, 2, 0, 60.0, 90.0, "other words", [84.0, 301.0]), (1, 3, 0, 60.0, 90.0, "x", [10.0])]
+SPANNING = [(0, 0, 600.0, 780.0, "Method Value", [85.0, 300.0]), (1, 0, 60.0, 200.0, "Method Values", [85.0, 250.0]), (1, 1, 600.0, 780.0, "a b", [85.0, 300.0]), (2, 0, 60.0, 90.0, "other words", [84.0, 301.0]), (3, 0, 60.0, 90.0, "x", [10.0])]
 
 
-@query("crosspage_tables", "SELECT * FROM (VALUES (1::BIGINT, 1, 0, 0, 0, 0), (1, 2, 0, 1, 1, 1)) v(doc_id, pno, tbl, from_pno, from_tbl, gid)")
+@query("crosspage_tables", "SELECT doc_id, pno, tbl, from_pno, from_tbl, gid FROM documents, (VALUES (1, 0, 0, 0, 0), (2, 0, 1, 1, 1)) v(pno, tbl, from_pno, from_tbl, gid)")
 def crosspage_tables(spark, d):
-    return tables.crosspage_tables(spark.createDataFrame(SPANNING, "doc_id long, pno int, tbl int, y0 double, y1 double, head string, anchors array<double>"), 842.0)
+    """Tables on four pages of every document, of which two go on on the next one."""
+    spec = lambda x: F.struct(*(F.lit(v).alias(n) for v, n in zip(x[:5], ("pno", "tbl", "y0", "y1", "head"), strict=True)), F.array(*map(F.lit, x[5])).alias("anchors"))
+    return tables.crosspage_tables(table(spark, d, "documents").select("doc_id", F.inline(F.array(*map(spec, SPANNING)))), 842.0)
 
 
 _CLS = "CASE WHEN size = 16 THEN 'title' WHEN size = 8 THEN 'ref_entry' ELSE 'body' END"
