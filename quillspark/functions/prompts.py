@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HAN = "一-鿿"
@@ -68,3 +68,30 @@ def without_skewed(stream: Column, words: str) -> Column:
     gone = lambda x: F.endswith(x, F.lit("\x02")) & ((number(x, 1) > 0.001) | (number(x, 2) > 0.001)) & F.lower(x).rlike(words)
     parts = F.split(F.replace(marked, F.lit("\x02"), F.lit("\x02\x01")), "\x01")
     return F.replace(F.array_join(F.filter(parts, lambda x: ~gone(x)), ""), F.lit("\x02"), F.lit(""))
+
+
+# Phrases and words of watermarks, and what excuses a text that holds them.
+WATERMARK_PHRASES = ("accepted manuscript", "author submitted manuscript", "author manuscript", "unpublished manuscript", "manuscript version")
+WATERMARK_WORDS, NO_WATERMARK = ("preprint", "do not distribute", "for review only"), ("arxiv:", "arxiv.org", "doi:")
+
+
+def watermark(low: Column) -> Column:
+    """Whether a text in lower case holds a phrase, or a word that stands alone, and nothing that excuses it."""
+    excused, hit = F.lit(False), low.rlike("(?<![a-z0-9])(?:" + "|".join(WATERMARK_WORDS) + ")(?![a-z0-9])")
+    for part in NO_WATERMARK:
+        excused = excused | F.contains(low, F.lit(part))
+    for part in WATERMARK_PHRASES:
+        hit = hit | F.contains(low, F.lit(part))
+    return ~excused & hit
+
+
+def stream_removals(streams: DataFrame, words: str, short: int = 500) -> DataFrame:
+    """What is done with content streams (id, stream, is_annotation): removed whole, cleaned of skewed blocks, or kept, (id, action, stream).
+
+    A short stream or an annotation with a watermark goes whole; of a longer one the skewed blocks that hold it.
+    """
+    low = two_views(F.col("stream").cast("binary"))
+    whole = low.rlike(words) & ((F.length("stream") < short) | F.col("is_annotation"))
+    clean = without_skewed(F.col("stream"), words)
+    action = F.when(whole, "removed").when(clean != F.col("stream"), "cleaned").otherwise("kept")
+    return streams.select("id", action.alias("action"), F.when(action == "removed", F.lit("")).otherwise(clean).alias("stream"))

@@ -11,8 +11,13 @@ from quillspark.sources.adapters import PAGE_H, PAGE_W
 PAGE = ["doc_id", "pno"]
 
 
-def header_footer(b: Column) -> Column:
-    return (b.y1 < 0.08 * PAGE_H) | (b.y0 > 0.94 * PAGE_H)
+def page_size(rows: DataFrame) -> tuple[Column, Column]:
+    """Width and height of each row's page: its columns page_w and page_h, or the usual size where there are none."""
+    return tuple(F.col(c) if c in rows.columns else F.lit(usual) for c, usual in (("page_w", PAGE_W), ("page_h", PAGE_H)))
+
+
+def header_footer(b: Column, height: float | Column = PAGE_H) -> Column:
+    return (b.y1 < 0.08 * height) | (b.y0 > 0.94 * height)
 
 
 def line_number_block(b: Column, text: Column) -> Column:
@@ -20,9 +25,13 @@ def line_number_block(b: Column, text: Column) -> Column:
 
 
 def column_mode(lines: DataFrame) -> DataFrame:
-    """Per page: 'two' unless 35 % of the body lines cross the middle or a side has fewer than two; under four lines 'one'."""
-    b, mid, slack = F.col("bbox"), PAGE_W / 2, 0.02 * PAGE_W
-    body = ~header_footer(b)
+    """Per page: 'two' unless 35 % of the body lines cross the middle or a side has fewer than two; under four lines 'one'.
+
+    Pages are as wide and high as the lines' page_w and page_h say, if they have them.
+    """
+    width, height = page_size(lines)
+    b, mid, slack = F.col("bbox"), width / 2, 0.02 * width
+    body = ~header_footer(b, height)
     n = F.count_if(body)
     crossing, left, right = F.count_if(body & (b.x0 < mid - slack) & (b.x1 > mid + slack)), F.count_if(body & (b.x1 <= mid)), F.count_if(body & (b.x0 >= mid))
     one = (n < 4) | (crossing / F.greatest(n, F.lit(1)) >= 0.35) | (left < 2) | (right < 2)

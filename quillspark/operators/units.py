@@ -122,3 +122,21 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: list[str], order: list[st
     both = old.unionByName(new)
     best = both.groupBy(*key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("x"))
     return best.select(*key, *(F.col(f"x.{c}").alias(c) for c in cols))
+
+
+def over_budget(src: Column, dst: Column, budget: Column) -> Column:
+    """A result 15 % over its budget of characters although the source is not."""
+    return (dst > 1.15 * budget) & (src <= 1.15 * budget)
+
+
+def saved_calls(rows: DataFrame, by: list[str], key: str, batch: int) -> DataFrame:
+    """Rows of each group that another one with their key answers, and the calls of ``batch`` units that they save."""
+    one = rows.groupBy(*by, key).agg(F.count("*").alias("n"))
+    hits = F.sum(F.col("n") - 1)
+    return one.groupBy(*by).agg(hits.alias("hits"), F.ceil(hits / batch).alias("saved"))
+
+
+def with_language(rows: DataFrame, registry: DataFrame, fallback: str = "cjk") -> DataFrame:
+    """Rows (…, lang) with script, direction and tag of a registry (code, script, rtl) of all known languages, a few hundred at most."""
+    known = rows.join(F.broadcast(registry), F.col("lang") == F.col("code"), "left")
+    return known.withColumn("script", F.coalesce("script", F.lit(fallback))).withColumn("rtl", F.coalesce("rtl", F.lit(False))).withColumn("tag", F.initcap("lang")).drop("code")

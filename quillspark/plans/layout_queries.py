@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import prompts
 from quillspark.functions import text as T
 from quillspark.operators import layout, units
 from quillspark.plans.registry import query
-from quillspark.sources.adapters import LINES_SQL, page_lines, page_links, table
+from quillspark.sources.adapters import LINES_SQL, page_lines, page_links, table, without_boilerplate
 
 GLOSSARY = [("the", "DEF"), ("and", "CONJ"), ("tion", "SUF"), ("de", "PREP")]
 BOX = ["bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1"]
@@ -69,6 +70,15 @@ def column_mode(spark, d):
     return layout.column_mode(lines_of(spark, d))
 
 
+@query("column_mode_by_size", LINES_SQL + """, z AS (SELECT *, 612 + 100 * (doc_id % 3) AS w, 842 - 90 * (doc_id % 2) AS h FROM v),
+m AS (SELECT doc_id, pno, count(*) FILTER (e) AS n_body, count(*) FILTER (e AND x0 < w / 2 - 0.02::DOUBLE * w AND x1 > w / 2 + 0.02::DOUBLE * w) AS c, count(*) FILTER (e AND x1 <= w / 2) AS l, count(*) FILTER (e AND x0 >= w / 2) AS r FROM (SELECT *, NOT (y1 < 0.08::DOUBLE * h OR y0 > 0.94::DOUBLE * h) AS e FROM z) GROUP BY 1, 2)
+SELECT doc_id, pno, n_body, CASE WHEN n_body < 4 OR c / n_body >= 0.35 OR l < 2 OR r < 2 THEN 'one' ELSE 'two' END AS mode FROM m""")
+def column_mode_by_size(spark, d):
+    """Pages of three widths and two heights."""
+    i = F.col("doc_id")
+    return layout.column_mode(lines_of(spark, d).withColumn("page_w", (612 + 100 * (i % 3)).cast("double")).withColumn("page_h", (842 - 90 * (i % 2)).cast("double")))
+
+
 @query("doc_column_majority", _MODE + "SELECT doc_id, mode, n FROM (SELECT doc_id, mode, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pno)) AS k FROM pm GROUP BY 1, 2) WHERE k = 1")
 def doc_column_majority(spark, d):
     n = layout.column_mode(lines_of(spark, d)).groupBy("doc_id", "mode").agg(F.count("*").alias("n"), F.min("pno").alias("p"))
@@ -225,15 +235,12 @@ def link_counts(spark, d):
 
 @query("watermark_hits", r"""SELECT page_id, NOT (contains(t, 'arxiv:') OR contains(t, 'arxiv.org') OR contains(t, 'doi:')) AND (regexp_matches(t, 'accepted manuscript|author submitted manuscript|author manuscript|unpublished manuscript|manuscript version') OR regexp_matches(t, '(^|[^a-z0-9])(preprint|do not distribute|for review only)([^a-z0-9]|$)')) AS hit FROM (SELECT page_id, lower(html) AS t FROM pages)""")
 def watermark_hits(spark, d):
-    t = F.lower("html")
-    ok = F.contains(t, F.lit("arxiv:")) | F.contains(t, F.lit("arxiv.org")) | F.contains(t, F.lit("doi:"))
-    hit = t.rlike("accepted manuscript|author submitted manuscript|author manuscript|unpublished manuscript|manuscript version") | t.rlike("(?<![a-z0-9])(preprint|do not distribute|for review only)(?![a-z0-9])")
-    return table(spark, d, "pages").select("page_id", (~ok & hit).alias("hit"))
+    return table(spark, d, "pages").select("page_id", prompts.watermark(F.lower("html")).alias("hit"))
 
 
 @query("boilerplate_removed", r"""SELECT page_id, length(b)::BIGINT AS kept, md5(b) AS digest FROM (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<nav.*?</nav>|<footer.*?</footer>|<div class="ad">.*?</div>', '', 'g') AS b FROM pages)""")
 def boilerplate_removed(spark, d):
-    b = F.regexp_replace("html", r'(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<nav.*?</nav>|<footer.*?</footer>|<div class="ad">.*?</div>', "")
+    b = without_boilerplate(F.col("html"))
     return table(spark, d, "pages").select("page_id", F.length(b).cast("long").alias("kept"), F.md5(b).alias("digest"))
 
 

@@ -154,6 +154,17 @@ def skewed_watermarks(spark, d):
     return table(spark, d, "documents").select("doc_id", prompts.without_skewed(stream, WORDS).alias("stream"))
 
 
+@query("stream_removals", """SELECT doc_id AS id, CASE WHEN low AND (length(s) < 60 OR doc_id % 5 = 0) THEN 'removed' WHEN skew AND low THEN 'cleaned' ELSE 'kept' END AS action FROM (SELECT doc_id, w <> 'text' AS low, doc_id % 2 = 0 AS skew, 'q BT 1 0 0 1 5 5 Tm (' || w || ') Tj ET ' || CASE WHEN doc_id % 4 < 2 THEN 'BT 0.7 ' || CASE WHEN doc_id % 2 = 0 THEN '0.7' ELSE '0' END || ' 0 0.7 9 9 Tm (' || w || ') Tj ET' ELSE '' END AS s
+FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Draft' WHEN 1 THEN 'preprint' ELSE 'text' END AS w FROM documents))""")
+def stream_removals(spark, d):
+    i = F.col("doc_id")
+    w = F.when(i % 3 == 0, "Draft").when(i % 3 == 1, "preprint").otherwise("text")
+    turned = F.concat(F.lit("BT 0.7 "), F.when(i % 2 == 0, "0.7").otherwise("0"), F.lit(" 0 0.7 9 9 Tm ("), w, F.lit(") Tj ET"))
+    stream = F.concat(F.lit("q BT 1 0 0 1 5 5 Tm ("), w, F.lit(") Tj ET "), F.when(i % 4 < 2, turned).otherwise(""))
+    rows = table(spark, d, "documents").select(i.alias("id"), stream.alias("stream"), (i % 5 == 0).alias("is_annotation"))
+    return prompts.stream_removals(rows, WORDS, 60).select("id", "action")
+
+
 @query("decoded_views", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(t) || chr(10) || lower(t) ELSE lower(t) END = v AS same, true AS shown FROM (SELECT doc_id, 'Draft' || doc_id AS t, CASE WHEN doc_id % 2 = 0 THEN 'draft' || doc_id || chr(10) || 'draft' || doc_id ELSE 'draft' || doc_id END AS v FROM documents)")
 def decoded_views(spark, d):
     """Texts in two-byte codes (even documents) show up behind the bytes with their zeros."""

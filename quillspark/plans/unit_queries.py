@@ -69,7 +69,7 @@ def over_budget_candidates(spark, d):
     c = table(spark, d, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", "turn", F.length("text").cast("long").alias("dst"))
     u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.length("text").cast("long").alias("src"))
-    return a.join(u, ["conv_id", "turn"]).where("dst > 1.15 * 400 and src <= 1.15 * 400").select("conv_id", "turn", "src", "dst", F.lit(400).alias("budget"))
+    return a.join(u, ["conv_id", "turn"]).withColumn("budget", F.lit(400)).where(units.over_budget(F.col("src"), F.col("dst"), F.col("budget"))).select("conv_id", "turn", "src", "dst", "budget")
 
 
 @query("job_snapshot", f"""SELECT job, arg_max(kind, event_id) AS status, count(*) AS n_events, coalesce(array_to_string(list_reverse(list_slice(list(msg ORDER BY event_id DESC) FILTER (kind = 'error'), 1, 40)), ','), '') AS warnings FROM {_JOBS} GROUP BY 1""")
@@ -134,9 +134,7 @@ LANGS = [("zh", "cjk", False), ("en", "latin", False), ("ja", "cjk", False), ("k
 
 @query("lang_registry_join", "SELECT doc_id, coalesce(script, 'cjk') AS script, coalesce(rtl, false) AS rtl, upper(lang[1]) || lang[2:] AS tag FROM documents LEFT JOIN (VALUES " + ", ".join(f"('{c}', '{s}', {str(r).lower()})" for c, s, r in LANGS) + ") l(code, script, rtl) ON lang = code")
 def lang_registry_join(spark, d):
-    reg = spark.createDataFrame(LANGS, "code string, script string, rtl boolean")
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    return docs.join(F.broadcast(reg), docs.lang == reg.code, "left").select("doc_id", F.coalesce("script", F.lit("cjk")).alias("script"), F.coalesce("rtl", F.lit(False)).alias("rtl"), F.initcap("lang").alias("tag"))
+    return units.with_language(table(spark, d, "documents").select("doc_id", "lang"), spark.createDataFrame(LANGS, "code string, script string, rtl boolean")).drop("lang")
 
 
 @query("backoff_schedule", "SELECT CAST(a AS BIGINT) AS attempt, least(2 * pow(2, a - 1), 60)::DOUBLE AS delay FROM range(1, 9) t(a)")
@@ -146,8 +144,7 @@ def backoff_schedule(spark, d):
 
 @query("cache_saved_calls", "SELECT source, CAST(count(*) - count(DISTINCT md5(text)) AS BIGINT) AS hits, CAST(ceil((count(*) - count(DISTINCT md5(text))) / 6.0) AS BIGINT) AS saved FROM documents GROUP BY 1")
 def cache_saved_calls(spark, d):
-    hits = F.count("*") - F.count_distinct(F.md5("text"))
-    return table(spark, d, "documents").groupBy("source").agg(hits.alias("hits"), F.ceil(hits / 6).alias("saved"))
+    return units.saved_calls(table(spark, d, "documents").withColumn("k", F.md5("text")), ["source"], "k", 6)
 
 
 @query("events_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

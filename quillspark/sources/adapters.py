@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.geom import rect
@@ -39,6 +39,11 @@ v AS (SELECT doc_id, CAST(i // 24 AS INTEGER) AS pno, CAST(r AS INTEGER) AS pi,
 """
 
 
+def without_boilerplate(html: Column) -> Column:
+    """HTML without scripts, styles, comments, navigation, footers and advertisements."""
+    return F.regexp_replace(html, r'(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<nav.*?</nav>|<footer.*?</footer>|<div class="ad">.*?</div>', "")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """Links of raw HTML in order: (page_id, ord, href); scripts, styles and comments are left out first."""
     html = F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
