@@ -158,12 +158,21 @@ def protected_blocks(spark, d):
     return layout.protected(lines, regions).select("doc_id", "pno", "pi", "region")
 
 
-@query("crosspage_groups", LINES_SQL + r""", e AS (SELECT doc_id, pno, arg_max(text, pi) AS a, arg_min(text, pi) AS h FROM v GROUP BY 1, 2)
-SELECT e.doc_id, e.pno, CASE WHEN regexp_matches(e.a, '[A-Za-z]-$') AND regexp_matches(n.h, '^\p{Ll}') THEN e.a[:-2] || n.h ELSE e.a || chr(10) || n.h END AS joined
+_OPEN = r"CASE doc_id % 4 WHEN 0 THEN regexp_replace(text, '[.]$', '') WHEN 1 THEN regexp_replace(text, '[.]$', '-') ELSE text END"
+
+
+@query("crosspage_groups", LINES_SQL + rf""", e AS (SELECT doc_id, pno, arg_max(CASE WHEN pi = f AND doc_id % 3 > 0 THEN lower(text) ELSE {_OPEN} END, pi) AS a, arg_min(CASE WHEN doc_id % 3 > 0 THEN lower(text) ELSE {_OPEN} END, pi) AS h FROM (SELECT *, min(pi) OVER (PARTITION BY doc_id, pno) AS f FROM v) GROUP BY 1, 2)
+SELECT e.doc_id, e.pno, CASE WHEN regexp_matches(e.a, '[A-Za-z]-$') AND regexp_matches(n.h, '^\p{{Ll}}') THEN e.a[:-2] || n.h ELSE e.a || chr(10) || n.h END AS joined
 FROM e JOIN e n ON n.doc_id = e.doc_id AND n.pno = e.pno + 1
-WHERE regexp_matches(e.a, '\S') AND NOT regexp_matches(e.a, '[.:;!?。：；？！")\]''”’]\s*$') AND regexp_matches(n.h, '^\s*[\p{Ll}\p{Nd}(\[{]') AND NOT regexp_matches(n.h, '^(?i)(fig(ure)?\.?\s|table\s)') AND NOT regexp_matches(n.h, '^\[\d+\]') AND NOT regexp_matches(e.a, '^\[\d+\]') AND length(e.a) + length(n.h) <= 1200""")
+WHERE regexp_matches(e.a, '\S') AND NOT regexp_matches(e.a, '[.:;!?。：；？！")\]''”’]\s*$') AND regexp_matches(n.h, '^\s*[\p{{Ll}}\p{{Nd}}(\[{{]') AND NOT regexp_matches(n.h, '^(?i)(fig(ure)?\.?\s|table\s)') AND NOT regexp_matches(n.h, '^\[\d+\]') AND NOT regexp_matches(e.a, '^\[\d+\]') AND length(e.a) + length(n.h) <= 1200""")
 def crosspage_groups(spark, d):
-    return layout.crosspage_groups(lines_of(spark, d))
+    """Lines of half of the documents without their last full stop, or with a hyphen there; two thirds of them in lower case where a page begins."""
+    t, i = F.col("text"), F.col("doc_id")
+    ended = F.when(i % 4 == 0, F.regexp_replace(t, "[.]$", "")).when(i % 4 == 1, F.regexp_replace(t, "[.]$", "-")).otherwise(t)
+    lines = lines_of(spark, d)
+    first = lines.groupBy(*layout.PAGE).agg(F.min("pi").alias("first"))
+    lines = lines.join(first, layout.PAGE).withColumn("text", F.when((F.col("pi") == F.col("first")) & (i % 3 > 0), F.lower(t)).otherwise(ended))
+    return layout.crosspage_groups(lines)
 
 
 @query("math_fragment_flags", LINES_SQL + "SELECT doc_id, pno, pi, length(text) <= 8 AND regexp_matches(text, '[=<>]') AND NOT regexp_matches(text, '[A-Za-z]{4}') AS is_math FROM v")

@@ -184,13 +184,13 @@ def readings_in_points(spark, d):
 
 @query("words_to_lines", LINES_SQL + """, w AS (SELECT doc_id, pno, pi, col, unnest(range(0, len(ws))) AS k, unnest(ws) AS word, x0, y0 FROM (SELECT *, string_split(text, ' ') AS ws FROM v)),
 g AS (SELECT *, x0 + 40 * k AS l, CASE WHEN k % 7 = 3 THEN -1 ELSE (k * 13 + pi) % 101 END AS conf FROM w)
-SELECT doc_id, pno, col AS block, pi // 6 AS par, pi AS line, string_agg(word, ' ' ORDER BY l) AS text, min(l) AS x0, max(l + 5 * length(word)) AS x1, round(avg(conf) / 100, 6) AS score FROM g WHERE length(trim(word, ' ')) > 0 AND conf >= 0 GROUP BY 1, 2, 3, 4, 5""")
+SELECT doc_id, pno, col AS block, pi // 6 AS par, pi AS line, string_agg(word, ' ' ORDER BY l) AS text, min(l) AS x0, max(l + 5 * length(word)) AS x1, round(avg(conf) / 100, 9) AS score FROM g WHERE length(trim(word, ' ')) > 0 AND conf >= 0 GROUP BY 1, 2, 3, 4, 5""")
 def words_to_lines(spark, d):
     b, k, p = F.col("bbox"), F.col("k"), F.col("pi")
     ws = lines_of(spark, d).select(*PAGE, "pi", "col", "bbox", F.posexplode(F.split("text", " ")).alias("k", "text"))
     ws = ws.select(*PAGE, F.col("col").alias("block"), F.floor(p / 6).cast("int").alias("par"), p.alias("line"), (b.x0 + 40 * k).alias("left"), b.y0.alias("top"), (5 * F.length("text")).alias("width"), F.lit(12).alias("height"), "text", F.when(k % 7 == 3, -1).otherwise((k * 13 + p) % 101).alias("conf"))
     out = readings.words_to_lines(ws, PAGE)
-    return out.select(*PAGE, "block", "par", "line", "text", F.col("bbox.x0").alias("x0"), F.col("bbox.x1").alias("x1"), F.round("score", 6).alias("score"))
+    return out.select(*PAGE, "block", "par", "line", "text", F.col("bbox.x0").alias("x0"), F.col("bbox.x1").alias("x1"), F.round("score", 9).alias("score"))
 
 
 @query("normalised_readings", """WITH r AS (SELECT doc_id, doc_id % 4 AS k, (doc_id % 50)::DOUBLE AS x FROM documents)
