@@ -31,6 +31,8 @@ MISS = 1e-5
 SLACK = 0.15
 #: Nodes in a block, and shingles in it, on average; blocks are made by hash, so a single larger set stands in one.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Nodes of a pair of blocks that are compared with all others at once.
+ROWS = 128
 _RNG = np.random.default_rng(7919)
 _MUL = _RNG.integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(1, 2**63, 1024, dtype=np.uint64)
@@ -118,17 +120,21 @@ def _similar(percent: int, k: int, bits: int, schema: pa.Schema):
     def run(unit: pa.Table) -> pa.Table:
         sig = unit.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(unit), -1)
         n, own, part = (unit.column(c).to_numpy() for c in ("n_shingles", "own", "component"))
-        differ = np.zeros((len(unit), len(unit)), np.int32)
-        for w in range(sig.shape[1]):
-            x = sig[:, None, w] ^ sig[None, :, w]
-            for s in (1 << i for i in range(bits.bit_length() - 1)):
-                x |= x >> np.uint64(s)
-            differ += np.bitwise_count(x & fields)
-        equal = ((k - differ) / k - 2.0**-bits) / (1 - 2.0**-bits)
-        near = (equal >= floor) & (part[:, None] != part[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-        if len(np.unique(own)) > 1:
-            near &= own[:, None] != own[None, :]
-        return unit.filter(pa.array(near.any(axis=1))).select(schema.names).cast(schema)
+        several, found = len(np.unique(own)) > 1, np.zeros(len(unit), bool)
+        for low in range(0, len(unit), ROWS):
+            at = slice(low, low + ROWS)
+            differ = np.zeros((len(n[at]), len(unit)), np.int32)
+            for w in range(sig.shape[1]):
+                x = sig[at, None, w] ^ sig[None, :, w]
+                for s in (1 << i for i in range(bits.bit_length() - 1)):
+                    x |= x >> np.uint64(s)
+                differ += np.bitwise_count(x & fields)
+            equal = ((k - differ) / k - 2.0**-bits) / (1 - 2.0**-bits)
+            near = (equal >= floor) & (part[at, None] != part[None, :]) & (100 * np.minimum(n[at, None], n[None, :]) >= percent * np.maximum(n[at, None], n[None, :]))
+            if several:
+                near &= own[at, None] != own[None, :]
+            found[at] = near.any(axis=1)
+        return unit.filter(pa.array(found)).select(schema.names).cast(schema)
 
     return run
 
@@ -150,7 +156,7 @@ def _forest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _blocks(percent: int, schema: pa.Schema, columns: int = 4096):
+def _blocks(percent: int, schema: pa.Schema, columns: int = 1024):
     def run(unit: pa.Table) -> pa.Table:
         """Links between nodes of different components in a pair of blocks, as many as join these components."""
         nodes = unit.column("node")
