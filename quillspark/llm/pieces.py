@@ -22,7 +22,7 @@ from quillspark.llm import textbatch as tb
 MARK = 0x2581
 #: Fixed value of the library: a character without a piece scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _UP = np.array([pow(_B, i, 2**64) for i in range(512)], np.uint64)
 _DOWN = np.array([pow(pow(_B, -1, 2**64), i, 2**64) for i in range(512)], np.uint64)
