@@ -11,7 +11,6 @@ from quillspark.plans.layout_queries import _MODE, lines_of
 from quillspark.plans.registry import query
 from quillspark.sources.adapters import LINES_SQL
 
-RECT = "x0 double, y0 double, x1 double, y1 double"
 MARKS = [(False, 0.0, 0.0, 612.0, 842.0), (True, 100.0, 100.0, 200.0, 200.0), (False, 205.0, 120.0, 260.0, 180.0), (False, 400.0, 600.0, 500.0, 700.0), (True, 400.0, 400.0, 430.0, 430.0)]
 
 
@@ -118,9 +117,13 @@ def region_split(spark, d):
     return regions.region_split(lines_of(spark, d).select(*layout.PAGE, "pi", x0.alias("x0"), b.y0.alias("y0"), x1.alias("x1"), b.y1.alias("y1")), 612.0)
 
 
-@query("figure_regions", "SELECT * FROM (VALUES (1::BIGINT, 0, 0, 100.0::DOUBLE, 100.0::DOUBLE, 260.0::DOUBLE, 200.0::DOUBLE)) v(doc_id, pno, region, x0, y0, x1, y1)")
+@query("figure_regions", LINES_SQL + "SELECT doc_id, pno, 0 AS region, 100.0::DOUBLE + doc_id % 5 AS x0, 100.0::DOUBLE AS y0, 260.0::DOUBLE + doc_id % 5 AS x1, 200.0::DOUBLE AS y1 FROM (SELECT DISTINCT doc_id, pno FROM v)")
 def figure_regions(spark, d):
-    return regions.figure_regions(spark.createDataFrame([(1, 0, i, *m) for i, m in enumerate(MARKS)], f"doc_id long, pno int, i int, image boolean, {RECT}"), 612.0, 842.0)
+    """A page-wide drawing, an image with a drawing beside it, a lone drawing and a small image on every page, moved by the document's remainder."""
+    k = F.col("doc_id") % 5
+    mark = lambda i, m: F.struct(F.lit(i).alias("i"), F.lit(m[0]).alias("image"), *((F.lit(v) + (0 if i == 0 else k)).cast("double").alias(n) if n[0] == "x" else F.lit(v).alias(n) for v, n in zip(m[1:], ("x0", "y0", "x1", "y1"), strict=True)))
+    pages = lines_of(spark, d).select(*layout.PAGE).distinct()
+    return regions.figure_regions(pages.select(*layout.PAGE, F.inline(F.array(*(mark(i, m) for i, m in enumerate(MARKS))))), 612.0, 842.0)
 
 
 AREAS = [("figure", 0, (60, 80, 300, 180)), ("figure", 1, (54, 320, 560, 420)), ("table", 0, (54, 480, 560, 560)), ("table", 1, (320, 600, 560, 780))]

@@ -93,10 +93,18 @@ def html_blocks(spark, d):
     return reflow.html_documents(blocks, "doc_id", 228.0)
 
 
-SPANS = [(0, "Algorithm 1: Sort", "Times", 0), (1, "Algorithm 1: Sort\nx <- y", "NimbusMono", 0), (2, "Algorithm 2 : Q\nInput: n\nfor i do", "Times", 0), (3, "for all i", "Times", 0), (4, "for Devices", "Times-Bold", 0), (5, "if so", "Times", 16), (6, "l=i", "Times", 0), (7, "7 % note", "Times", 0), (8, "plain words", "NimbusMonL", 0), (9, "plain words", "Times", 0), (10, "Algorithm 3: A\nb", "Times", 0)]
+_SPOKEN = "CASE pi % 8 WHEN 0 THEN 'Algorithm 1: ' || text WHEN 1 THEN 'Algorithm 2 : Q' || chr(10) || 'Input: n' || chr(10) || 'for i do' WHEN 2 THEN 'for ' || text WHEN 3 THEN 'End if' WHEN 4 THEN 'l=i' WHEN 5 THEN '7 % note' WHEN 6 THEN text ELSE 'if so' END"
 
 
-@query("verbatim_flags", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {i in (1, 2)}, {i in (1, 3, 6, 7, 8)})" for i in range(11)) + ") v(id, body, rest)")
+@query("verbatim_flags", LINES_SQL + rf""", f AS (SELECT doc_id, pno, pi, {_SPOKEN} AS t, pi % 3 = 1 AS mono, pi % 3 = 2 OR pi % 5 = 0 AS bold FROM v), s AS (SELECT *, regexp_replace(t, '^\s+|\s+$', '', 'g') AS s FROM f)
+SELECT doc_id, pno, pi, regexp_matches(t, '^\s*Algorithm\s+\d+\s*:') AND contains(s, chr(10)) AND (mono OR contains(lower(t)[1:80], 'input') AND contains(lower(t), 'for') AND contains(lower(t), 'do')) AS body,
+length(s) <= 200 AND (regexp_matches(s, '^(Break out of|End for|End while|End if|(for|if|while|return)\s|(else|Sample|Initialise)([^A-Za-z0-9_]|$))') AND NOT bold OR length(s) <= 8 AND regexp_matches(s, '[=<>]') AND NOT regexp_matches(s, '[A-Za-z]{{4}}') OR mono OR regexp_matches(s, '^\d+\s*[%\s]|^%\s')) AS rest FROM s""")
 def verbatim_flags(spark, d):
-    df = spark.createDataFrame([(i, t, [(t, f, n)]) for i, t, f, n in SPANS], "id int, text string, spans array<struct<text:string,font:string,flags:int>>")
-    return df.select("id", T.algorithm_body(F.col("text"), F.col("spans")).alias("body"), T.algorithm_rest(F.col("text"), F.col("spans")).alias("rest"))
+    """Lines as parts of algorithms by their number, in three fonts, some of them marked as bold."""
+    p, t = F.col("pi"), F.col("text")
+    forms = (F.concat(F.lit("Algorithm 1: "), t), F.lit("Algorithm 2 : Q\nInput: n\nfor i do"), F.concat(F.lit("for "), t), F.lit("End if"), F.lit("l=i"), F.lit("7 % note"), t, F.lit("if so"))
+    text = F.element_at(F.array(*forms), p % 8 + 1)
+    font = F.element_at(F.array(*map(F.lit, ("Times", "NimbusMono", "Times-Bold"))), p % 3 + 1)
+    lines = page_lines(table(spark, d, "documents")).select("doc_id", "pno", "pi", text.alias("text"), font.alias("font"), F.when(p % 5 == 0, 16).otherwise(0).alias("flags"))
+    lines = lines.withColumn("spans", F.array(F.struct("text", "font", "flags")))
+    return lines.select("doc_id", "pno", "pi", T.algorithm_body(F.col("text"), F.col("spans")).alias("body"), T.algorithm_rest(F.col("text"), F.col("spans")).alias("rest"))
