@@ -165,3 +165,13 @@ def event_times(events: DataFrame) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     first = events.groupBy("job").agg(F.min(at).alias("__first"))
     return events.join(first, "job").withColumn("seconds", F.round(at / 1_000_000, 3)).withColumn("elapsed", F.round((at - F.col("__first")) / 1_000_000, 1)).drop("__first")
+
+
+def complete(got: Column, wanted: Column) -> Column:
+    """Whether a reply has every id that was asked for; more of them do not matter."""
+    return F.size(F.array_except(wanted, got)) == 0
+
+
+def unit_pages(results: DataFrame, places: DataFrame) -> DataFrame:
+    """Results (pno, i, dst) at their places (pno, i, …): looked up by both numbers, the place's own text where there is none."""
+    return places.join(results, ["pno", "i"], "left").withColumn("dst", F.coalesce("dst", "text"))

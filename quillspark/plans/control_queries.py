@@ -128,6 +128,20 @@ def action_gate(spark, d):
     return control.allowed_actions(job_events(table(spark, d, "events")), "kind", ("click", "signup", "error"))
 
 
+@query("replies_complete", "SELECT conv_id, turn, list_has_all(['1', '3', '2'][1:conv_id % 4], ['1', '2', '3'][1:turn % 3 + 1]) AS complete FROM conversations")
+def replies_complete(spark, d):
+    ids = lambda *x: F.array(*map(F.lit, x))
+    got, wanted = F.slice(ids("1", "3", "2"), F.lit(1), (F.col("conv_id") % 4).cast("int")), F.slice(ids("1", "2", "3"), F.lit(1), (F.col("turn") % 3 + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", control.complete(got, wanted).alias("complete"))
+
+
+@query("unit_pages", "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'to ' || length(text) ELSE md5(text) END AS dst FROM conversations")
+def unit_pages(spark, d):
+    places = table(spark, d, "conversations").select(F.col("conv_id").alias("pno"), F.col("turn").alias("i"), F.md5("text").alias("text"), F.length("text").alias("n"))
+    results = places.where("(pno + i) % 3 = 0").select("pno", "i", F.concat(F.lit("to "), F.col("n").cast("string")).alias("dst"))
+    return control.unit_pages(results, places).select(F.col("pno").alias("conv_id"), F.col("i").alias("turn"), "dst")
+
+
 @query("event_times", f"SELECT job, event_id, round(epoch_us(ts) / 1000000, 3) AS seconds, round((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY job)) / 1000000, 1) AS elapsed FROM {_JOBS}")
 def event_times(spark, d):
     return control.event_times(job_events(table(spark, d, "events"))).select("job", "event_id", "seconds", "elapsed")
