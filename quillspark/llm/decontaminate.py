@@ -71,7 +71,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float)
     tokens = _forms(items, ["item_id", "w"]).where(F.size("tokens") > 0)
     keyed = _windows(tokens, ["item_id", "w", "form"], F.least(F.size("tokens"), F.lit(window)))
     sizes = [r["length"] for r in keyed.select("length").distinct().collect()]  # at most ``window`` of them
-    n_windows = keyed.groupBy("item_id", "w", "form").agg(F.countDistinct("hash").alias("windows"))
+    n_windows = keyed.groupBy("item_id", "w", "form").agg(F.countDistinct("hash").alias("windows"), F.max(F.col("pos") + F.col("length")).alias("n_tokens"))
     small = keyed.count() <= BROADCAST_WINDOWS
     bench = keyed.withColumnRenamed("pos", "item_pos")
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("v"), "text")
@@ -83,12 +83,20 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float)
     scratch = Scratch(docs.sparkSession, "leaks")
     found = scratch.keep(found, "found")  # read twice below; without it, all windows are made twice
     found = found.join(F.broadcast(n_windows) if small else n_windows, ["item_id", "w", "form"])
-    spots = found.groupBy(*spot, "windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(F.struct("hash", "item_pos", "item_length")).alias("hits"))
+    spots = found.groupBy(*spot, "windows", "n_tokens", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(F.struct("hash", "item_pos", "item_length")).alias("hits"))
     # the texts pass through the exchange once and unsorted, and each is cut into tokens once; the few candidates are the hashed side
-    spots = spots.groupBy("doc_id", "v").agg(F.collect_list(F.struct("item_id", "w", "form", "windows", "shift", "hits")).alias("spots"))
+    spots = spots.groupBy("doc_id", "v").agg(F.collect_list(F.struct("item_id", "w", "form", "windows", "n_tokens", "shift", "hits")).alias("spots"))
     spots = rows.join(spots.hint("shuffle_hash"), ["doc_id", "v"]).select("doc_id", "v", "spots", F.explode(F.array(raw_tokens(F.col("text")))).alias("doc_raw"))
-    spots = spots.select("*", *(template_tokens(F.col("doc_raw"), bool(i)).alias(f"form{i}") for i in (0, 1)))
-    spots = spots.select("doc_id", "v", "doc_raw", "form0", "form1", F.inline("spots")).withColumn("doc_tokens", F.when(F.col("form") == 0, F.col("form0")).otherwise(F.col("form1"))).drop("form0", "form1")
+
+    def placed_at(s: Column) -> Column:
+        """A spot with the document's tokens at the item's places and the one before them, which tells units."""
+        begin = F.greatest(s["shift"] - 1, F.lit(0))
+        here = F.slice(F.col("doc_raw"), begin + 1, s["n_tokens"] + s["shift"] - begin)
+        return F.struct(*(s[c].alias(c) for c in ("item_id", "w", "form", "windows", "hits")), (s["shift"] - begin).alias("shift"), here.alias("here"))
+
+    # a row for each spot, of the item's length: with the whole text's tokens, the spots of a long text overflow the heap
+    spots = spots.select("doc_id", "v", F.inline(F.transform("spots", placed_at))).withColumnRenamed("here", "doc_raw")
+    spots = spots.withColumn("doc_tokens", F.when(F.col("form") == 0, template_tokens(F.col("doc_raw"))).otherwise(template_tokens(F.col("doc_raw"), True)))
     spots = spots.join(F.broadcast(tokens) if small else tokens, ["item_id", "w", "form"])
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h.item_pos, h.item_pos + h.item_length - 1))))
     slots = F.filter(covered, lambda p: F.element_at("tokens", p + 1).isin("0", "A", "U"))

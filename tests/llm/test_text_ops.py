@@ -388,3 +388,21 @@ def test_leaks_in_another_case_and_units(spark):
     assert [r[:2] for r in got] == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 3), (5, 3), (6, 2), (7, 4), (8, 1)]
     left = sorted((str(r.doc_id), str(r.text)) for r in decontaminate.clean_documents(d, b).collect())
     assert left == sorted([("6", "same id other text"), ("9", "None"), ("None", "tiny item"), ("10", "")])
+
+
+def test_leaks_at_many_places_of_a_long_text(spark):
+    asked, mass = "a train leaves the station at 5 km every hour and stops there", "kg of flour and 3 eggs make a cake for two"
+    fill = lambda n: " ".join(f"w{chr(97 + (n + k) % 26)}{chr(97 + n % 23)}{chr(97 + n % 19)}" for k in range(15))
+    docs = [(1, "\n".join(f"{asked} {fill(n)}" for n in range(1500))), (2, f"{fill(1)} {asked}"), (3, " ".join(map(fill, range(2000))))]
+    # an item's first word is a unit or not by the word before it; items that stand over either end of a text
+    short = [(4, f"x 5 {mass}"), (5, f"x {mass}"), (6, f"5 {mass}"), (7, mass), (8, " ".join(mass.split()[1:])), (9, " ".join(mass.split()[:-1])), (10, f"{' '.join(asked.split()[2:])}")]
+    b = spark.createDataFrame([(1, asked), (2, mass)], "item_id long, text string")
+    d = spark.createDataFrame(docs + short, "doc_id long, text string").repartition(1)
+    got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.contaminated(d, b).collect()}
+    assert got[1, 1] == got[2, 1] and got[1, 1][0] == got[1, 1][1] and not {(1, 2), (3, 1), (3, 2)} & set(got)
+    assert {3} <= {r.doc_id for r in decontaminate.clean_documents(d, b).collect()} <= {3, *(i for i, _ in short)}
+    c = duckdb.connect()
+    c.register("documents", spark.createDataFrame(short, "doc_id long, text string").toPandas())
+    c.register("benchmark", b.toPandas())
+    want = {r[:2]: r[2:] for r in c.sql(decontaminate.ORACLE).fetchall()}
+    assert want and {k: v for k, v in got.items() if k[0] > 3} == want
