@@ -47,3 +47,9 @@ def test_cache_tiers(spark):
     two = spark.createDataFrame([("x", "X"), ("y", "Y")], "k string, dst string")
     got = {r["i"]: (r["dst"], r["tier"]) for r in units.cache_hits(u, [("k1", one), ("k2", two)]).collect()}
     assert got == {1: ("A", 0), 2: ("Y", 1), 3: (None, None)}
+
+
+def test_over_budget_at_the_limit(spark):
+    df = spark.createDataFrame([(10, 460, 400), (10, 461, 400), (460, 461, 400), (461, 462, 400)], "src long, dst long, budget int")
+    got = df.where(units.over_budget(df.src, df.dst, df.budget)).collect()
+    assert [(r.src, r.dst) for r in got] == [(10, 461), (460, 461)]
