@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import geom
 from quillspark.functions import text as T
-from quillspark.operators.folds import line_blocks
+from quillspark.operators.folds import fold_groups, line_blocks
 from quillspark.operators.layout import PAGE, column_mode
 
 _CAPTION, _REF = re.compile(r"(?i)^(fig(ure)?\.?\s|table\s)"), re.compile(r"(?i)^\[\d+\]|references[\s.:]*$")
@@ -109,9 +108,9 @@ JOINS = (
 )
 
 
-def _paragraphs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _paragraphs(rows: list) -> list[tuple]:
     done: list[_Para] = []
-    for r in pdf.sort_values(["col", "y0", "x0", "pi"], kind="stable").itertuples():
+    for r in rows:
         line = _Para(r.col, r.text, bool(_CAPTION.match(r.text)), bool(_REF.search(r.text)), {r.size: len(r.text)}, (r.x0, r.y0, r.x1, r.y1))
         seen = _Measures(done[-1], line) if done else None
         joined = next((form for fits, form in JOINS if seen and fits(seen)), None)
@@ -119,15 +118,15 @@ def _paragraphs(pdf: pd.DataFrame) -> pd.DataFrame:
             done.append(line)
         else:
             done[-1].take(line, joined.format(done[-1].text, line.text))
-    page = pdf["doc_id"].iloc[0], pdf["pno"].iloc[0]
-    return pd.DataFrame([(*page, k, p.col, p.n, p.text, p.caption, p.ref, *p.box) for k, p in enumerate(done)], columns=["doc_id", "pno", "para", "col", "n_lines", "text", "is_caption", "is_ref", "x0", "y0", "x1", "y1"])
+    return [(rows[0].doc_id, rows[0].pno, k, p.col, p.n, p.text, p.caption, p.ref, *p.box) for k, p in enumerate(done)]
 
 
 def paragraph_merge(lines: DataFrame) -> DataFrame:
     """Paragraphs of each page from lines (doc_id, pno, pi, col, text, size, x0, y0, x1, y1): contained pieces, reference
     continuations and normal continuations join the paragraph before them; captions stay alone. ``is_verbatim`` tells that
     what a paragraph became is a formula fragment or a line of an algorithm, which is not translated."""
-    out = lines.groupBy(*PAGE).applyInPandas(_paragraphs, "doc_id long, pno int, para int, col int, n_lines int, text string, is_caption boolean, is_ref boolean, x0 double, y0 double, x1 double, y1 double")
+    lines = lines.select(*PAGE, "pi", "col", "text", *(F.col(c).cast("double").alias(c) for c in ("size", "x0", "y0", "x1", "y1")))
+    out = fold_groups(lines, PAGE, ["col", "y0", "x0", "pi"], _paragraphs, "doc_id long, pno int, para int, col int, n_lines int, text string, is_caption boolean, is_ref boolean, x0 double, y0 double, x1 double, y1 double")
     spans = F.array().cast("array<struct<text:string,font:string,flags:int>>")
     verbatim = T.math_fragment(F.col("text")) | T.algorithm_rest(F.col("text"), spans)
     return out.withColumn("is_verbatim", ~F.col("is_caption") & ~F.col("is_ref") & verbatim)
@@ -151,8 +150,8 @@ def region_split(lines: DataFrame, width: float | Column) -> DataFrame:
 
 
 def _figures(width: float, height: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = [[r.x0, r.y0, r.x1, r.y1, 10 if r.image else 1] for r in pdf.sort_values("i").itertuples() if not (r.x1 - r.x0 >= 0.98 * width and r.y1 - r.y0 >= 0.98 * height)]
+    def run(rows: list) -> list[tuple]:
+        boxes = [[r.x0, r.y0, r.x1, r.y1, 10 if r.image else 1] for r in rows if not (r.x1 - r.x0 >= 0.98 * width and r.y1 - r.y0 >= 0.98 * height)]
         while True:
             found: list[list] = []
             for b in boxes:
@@ -166,15 +165,15 @@ def _figures(width: float, height: float):
             boxes = found
         clamped = [(max(0.0, a), max(0.0, b), min(width, c), min(height, d)) for a, b, c, d, n in found if n >= 10 and c - a > 40 and d - b > 40]
         keep = [c for c in clamped if (c[2] - c[0]) * (c[3] - c[1]) <= 0.35 * width * height]
-        doc, pno = pdf["doc_id"].iloc[0], pdf["pno"].iloc[0]
-        return pd.DataFrame([(doc, pno, k, *c) for k, c in enumerate(keep)], columns=["doc_id", "pno", "region", "x0", "y0", "x1", "y1"])
+        return [(rows[0].doc_id, rows[0].pno, k, *c) for k, c in enumerate(keep)]
 
     return run
 
 
 def figure_regions(marks: DataFrame, width: float, height: float) -> DataFrame:
     """Clusters of images and drawings (doc_id, pno, i, image, x0, y0, x1, y1) within 12 points; an image or ten drawings make one."""
-    return marks.groupBy(*PAGE).applyInPandas(_figures(width, height), "doc_id long, pno int, region int, x0 double, y0 double, x1 double, y1 double")
+    marks = marks.select(*PAGE, "i", "image", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return fold_groups(marks, PAGE, ["i"], _figures(width, height), "doc_id long, pno int, region int, x0 double, y0 double, x1 double, y1 double")
 
 
 def caption_binding(captions: DataFrame, areas: DataFrame, gap: float = 34.0) -> DataFrame:

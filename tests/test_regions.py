@@ -1,6 +1,9 @@
 """Folds over page regions that have no SQL twin."""
 
-from quillspark.operators import regions
+import pytest
+
+from quillspark.operators import folds, regions
+from quillspark.plans.catalog import QUERIES
 
 LINE = "doc_id long, pno int, pi int, col int, text string, size double, x0 double, y0 double, x1 double, y1 double"
 
@@ -37,3 +40,24 @@ def test_paragraph_merge_keeps_all_text(spark):
 def test_toc_levels(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate([3, 3, 3, 1, 4, 2])], "doc_id long, i int, level int")
     assert [r.toc for r in regions.toc_levels(df).orderBy("i").collect()] == [1, 2, 3, 1, 2, 2]
+
+
+@pytest.mark.parametrize("name", ["paragraph_merge", "figure_regions", "ocr_vote", "pseudo_clusters"])
+def test_pages_are_folded_along_the_partition(spark, name):
+    """No call with a frame of its own for each page, and the same rows where batches end inside a page."""
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+    want = sorted(map(tuple, df.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == want and want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_vote_of_engines(spark):
+    """The engine with more lines leads, a line of another is used once, and null boxes and scores match nothing."""
+    rows = [("b", 0, 0, 0, 10, 10, "x y", 0.5), ("b", 1, 0, 20, 10, 30, "two", 0.6), ("a", 0, 0, 1, 10, 11, "xy", 0.9), ("b", 2, 0, 0, 10, 10, "again", 0.1), ("c", 0, 0, 21, 10, 31, "Too", 0.2)]
+    df = spark.createDataFrame([(1, 0, e, i, *map(float, b), t, s) for e, i, *b, t, s in rows] + [(None, 0, "a", 0, None, None, None, None, "z", None)], "doc_id long, pno int, engine string, i int, x0 double, y0 double, x1 double, y1 double, text string, score double")
+    got = {(r.doc_id, r.i): (r.text, r.conflict) for r in folds.ocr_vote(df).collect()}
+    assert got == {(1, 0): ("xy", False), (1, 1): ("two", True), (1, 2): ("again", False), (None, 0): ("z", False)}
