@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import geom
+from quillspark.operators.folds import fold_groups
 from quillspark.operators.layout import PAGE
 from quillspark.operators.reflow import escape
 from quillspark.operators.splits import running_unions
@@ -161,8 +161,8 @@ def pseudo_clusters(paragraphs: DataFrame) -> DataFrame:
     def touch(u: list[float], r) -> bool:
         return u[0] < r.x1 and r.x0 < u[2] and u[1] < r.y1 and r.y0 < u[3]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces, used, out = list(pdf.sort_values("i").itertuples()), set(), []
+    def run(pieces: list) -> list[tuple]:
+        used, out = set(), []
         for k, seed in enumerate(pieces):
             if not seed.seed or k in used:
                 continue
@@ -175,11 +175,11 @@ def pseudo_clusters(paragraphs: DataFrame) -> DataFrame:
                     box = [min(box[0], r.x0), min(box[1], r.y0), max(box[2], r.x1), max(box[3], r.y1)]
                 mine.update(near)
             used |= mine
-            out.append((pdf["doc_id"].iloc[0], pdf["pno"].iloc[0], len(out), len(mine), *map(float, box)))
-        return pd.DataFrame(out, columns=["doc_id", "pno", "cluster", "n", "x0", "y0", "x1", "y1"])
+            out.append((seed.doc_id, seed.pno, len(out), len(mine), *box))
+        return out
 
-    flat = paragraphs.select(*PAGE, "i", "seed", "code", "bbox.*")
-    return flat.groupBy(*PAGE).applyInPandas(run, "doc_id long, pno int, cluster int, n int, x0 double, y0 double, x1 double, y1 double")
+    flat = paragraphs.select(*PAGE, "i", "seed", "code", *(F.col("bbox")[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return fold_groups(flat, PAGE, ["i"], run, "doc_id long, pno int, cluster int, n int, x0 double, y0 double, x1 double, y1 double")
 
 
 def trimmed(regions: DataFrame, texts: str, paragraphs: str, caption: Column, caption_below: Column) -> DataFrame:
