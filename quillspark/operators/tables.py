@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import groupby
+from math import isfinite
+from operator import attrgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import geom
+from quillspark.operators.folds import fold_groups
 from quillspark.operators.layout import PAGE
 from quillspark.operators.wrapping import alike as alike_texts
 
@@ -40,13 +47,57 @@ def rule_tables(rules: DataFrame, bands: DataFrame) -> DataFrame:
     return boxes.groupBy(*PAGE).agg(all_boxes.alias("s")).select(*PAGE, F.posexplode(F.aggregate("s", empty, keep)).alias("tbl", "r")).select(*TABLE, "r.*")
 
 
-def _anchors(items: DataFrame, x: str, name: str) -> DataFrame:
-    """Cluster means (steps of 2 at most) of ``x`` with the number of bands that have them."""
-    w = Window.partitionBy(*TABLE, "band").orderBy(x)
-    steps = items.withColumn("new", F.coalesce((F.col(x) - F.lag(x).over(w) > 2).cast("int"), F.lit(1))).withColumn("c", F.sum("new").over(Window.partitionBy(*TABLE, "band").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)))
-    means = steps.groupBy(*TABLE, "band", "c").agg(F.round(F.avg(x), 1).alias("at"))
-    counts = means.groupBy(*TABLE, "at").agg(F.count("*").alias("n"))
-    return counts.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias(name))
+def _rounded(x: float) -> float:
+    """To tenths as Spark's round does: half up by the shortest decimal form."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.1"), ROUND_HALF_UP)) if isfinite(x) else x
+
+
+def _anchors(bands: list[list[float]]) -> list[tuple[float, int]]:
+    """Cluster means (steps of 2 at most) of each band's positions with the number of bands that have them, in order."""
+    means: list[float] = []
+    for xs in bands:
+        xs, start = sorted(xs), 0
+        for k in range(1, len(xs) + 1):
+            if k == len(xs) or xs[k] - xs[k - 1] > 2:
+                means.append(_rounded(sum(xs[start:k]) / (k - start)))
+                start = k
+    return sorted(Counter(means).items())
+
+
+def _cells(rows: list) -> list[tuple]:
+    """Cells of one table from its items, sorted by band, x0, x1 and text."""
+    bands = [list(g) for _, g in groupby(rows, key=attrgetter("band"))]
+    need = max(2, int(len(bands) * 0.3))
+    left = [x for x, n in _anchors([[r.x0 for r in g] for g in bands]) if n >= need]
+    right = [x for x, n in _anchors([[r.x1 for r in g] for g in bands]) if n >= need and all(abs(x - y) > 4 for y in left)]
+
+    def slot(r) -> int | None:
+        found = next((k for k, x in enumerate(left) if abs(r.x0 - x) <= 3), None)
+        return next((k + 1000 for k, x in enumerate(right) if abs(r.x1 - x) <= 3), None) if found is None else found
+
+    slots = [[slot(r) for r in g] for g in bands]
+    sets = [tuple(sorted({x for x in s if x is not None})) for s in slots]
+    counts = Counter(s for s in sets if s)
+    top, modal = max(counts.values(), default=0), ()
+    if top:
+        modal = next(s for s in sets if counts[s] == top)
+    out = []
+    for g, own, mine in zip(bands, slots, sets, strict=True):
+        conf = 0.4 if len(left) < 2 or not mine or top < 2 else 0.9 if mine == modal else 0.7
+        gaps, n, end = [], 0, None
+        for r in g:
+            n += end is None or r.x0 - end > 12 or bool(r.number and r.x0 >= end - 2)
+            gaps.append(n)
+            end = r.x1
+        for k in range(len(g) - 2, -1, -1):  # equal items stand together
+            if (g[k].x0, g[k].x1, g[k].text) == (g[k + 1].x0, g[k + 1].x1, g[k + 1].text):
+                gaps[k] = gaps[k + 1]
+        cells: dict[int, list[str]] = {}
+        for k, r in enumerate(g):
+            key = gaps[k] if conf == 0.4 else own[k] if own[k] is not None else k + 10_001
+            cells.setdefault(key, []).extend([r.text] if r.text is not None else [])
+        out += [(r.doc_id, r.pno, r.tbl, r.band, k, " ".join(cells[key]), conf) for k, key in enumerate(sorted(cells))]
+    return out
 
 
 def anchor_split(items: DataFrame) -> DataFrame:
@@ -55,33 +106,13 @@ def anchor_split(items: DataFrame) -> DataFrame:
     Positions that 30 % of the rows (two at least) share are anchors: left edges, and right edges further than 4 points
     from those. Items within 3 points of an anchor share its cell, others stand alone behind. Rows with the most frequent
     set of anchors have confidence 0.9, others 0.7. Where there are fewer than two left anchors or no set occurs twice,
-    and in rows without any anchor, items are cut at gaps over 12 points and before numbers, with confidence 0.4.
+    and in rows without any anchor, items are cut at gaps over 12 points and before numbers, with confidence 0.4. Items
+    with a null key are left out. A fold over one table's items.
     """
-    bands = items.groupBy(*TABLE).agg(F.count_distinct("band").alias("bands"))
-    need = F.greatest(F.lit(2), F.floor(F.col("bands") * 0.3))
-    base = bands.join(_anchors(items, "x0", "l"), TABLE).join(_anchors(items, "x1", "r"), TABLE)
-    base = base.withColumn("l", F.transform(F.filter("l", lambda a: a.n >= need), lambda a: a["at"]))
-    base = base.withColumn("r", F.transform(F.filter("r", lambda a: (a.n >= need) & F.forall("l", lambda b: F.abs(a["at"] - b) > 4)), lambda a: a["at"]))
-
-    def first(anchors: str, x: str) -> Column:
-        hits = F.filter(F.transform(anchors, lambda a, i: F.when(F.abs(F.col(x) - a) <= 3, i)), lambda i: i.isNotNull())
-        return F.try_element_at(hits, F.lit(1))
-
-    rows = items.join(base.select(*TABLE, "l", "r"), TABLE).withColumn("slot", F.coalesce(first("l", "x0"), first("r", "x1") + 1000))
-    sets = rows.groupBy(*TABLE, "band").agg(F.array_sort(F.collect_set("slot")).alias("sig"))
-    modal = sets.where("size(sig) > 0").groupBy(*TABLE, "sig").agg(F.count("*").alias("n"), F.min("band").alias("b"))
-    modal = modal.groupBy(*TABLE).agg(F.min(F.struct((-F.col("n")).alias("n"), "b", "sig")).alias("m"))
-    rows = rows.join(sets, [*TABLE, "band"]).join(modal, TABLE, "left")
-    anchored = (F.size("l") >= 2) & (F.size("sig") > 0) & F.coalesce(F.col("m.n") <= -2, F.lit(False))
-    conf = F.when(~anchored, 0.4).when(F.col("sig") == F.col("m.sig"), 0.9).otherwise(0.7)
-    w = Window.partitionBy(*TABLE, "band").orderBy("x0", "x1", "text")
-    end = F.lag("x1").over(w)
-    cut = end.isNull() | (F.col("x0") - end > 12) | (F.col("text").rlike(NUMERIC) & (F.col("x0") >= end - 2))
-    rows = rows.withColumn("conf", conf).withColumn("k", F.row_number().over(w)).withColumn("cut", cut.cast("int")).withColumn("gap_cell", F.sum("cut").over(w))
-    key = F.when(F.col("conf") == 0.4, F.col("gap_cell")).when(F.col("slot").isNotNull(), F.col("slot")).otherwise(F.col("k") + 10_000)
-    cells = rows.withColumn("key", key).groupBy(*TABLE, "band", "conf", "key").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("s"))
-    at = F.row_number().over(Window.partitionBy(*TABLE, "band").orderBy("key")) - 1
-    return cells.select(*TABLE, "band", at.alias("cell"), F.array_join(F.transform("s", lambda s: s.text), " ").alias("text"), "conf")
+    edges = (F.col(c).cast("double").alias(c) for c in ("x0", "x1"))
+    rows = items.dropna(subset=[*TABLE, "band"]).select(*TABLE, "band", *edges, "text", F.col("text").rlike(NUMERIC).alias("number"))
+    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in (*TABLE, "band"))
+    return fold_groups(rows, TABLE, ["band", "x0", "x1", "text"], _cells, f"{kinds}, cell int, text string, conf double")
 
 
 def crosspage_tables(tables: DataFrame, height: float) -> DataFrame:

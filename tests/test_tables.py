@@ -37,3 +37,19 @@ def test_clean_text(spark):
     rows = [(" • one \n\n two\n", "one two"), ("中文\n接着 写", "中文接着写"), ("中\n文\n字", "中文字"), ("", ""), (None, None), ("a.\n(b", "a.(b")]
     df = spark.createDataFrame(rows, "t string, want string").withColumn("got", T.clean_text(F.col("t")))
     assert df.where("not (got <=> want)").collect() == []
+
+
+def test_tables_and_formulas_are_one_fold(spark):
+    """One sort for the items or spans of a page, whose memory is that of its rows, and no join of sorted copies."""
+    from quillspark.plans.catalog import QUERIES
+
+    for name in ("table_anchor_split", "display_formulas"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_anchor_split_of_equal_items_and_null_texts(spark):
+    rows = [(1, 0, 0, b, x, x + 10, t) for b, x, t in ((0, 10.0, "a"), (0, 10.0, "a"), (0, 100.0, "b"), (1, 11.0, None), (1, 100.0, "d"), (2, 10.0, "e"), (2, 50.0, "f"))] + [(1, 0, 0, None, 10.0, 20.0, "no row")]
+    df = spark.createDataFrame(rows, "doc_id long, pno int, tbl int, band int, x0 double, x1 double, text string")
+    got = [(r.band, r.cell, r.text, r.conf) for r in tables.anchor_split(df).orderBy("band", "cell").collect()]
+    assert got == [(0, 0, "a a", 0.9), (0, 1, "b", 0.9), (1, 0, "", 0.9), (1, 1, "d", 0.9), (2, 0, "e", 0.7), (2, 1, "f", 0.7)]
