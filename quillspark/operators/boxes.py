@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
+from operator import attrgetter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import geom
 from quillspark.operators.folds import fold_groups
 from quillspark.operators.layout import PAGE
 from quillspark.operators.reflow import escape
-from quillspark.operators.splits import running_unions
 
 # Fonts of formulas, signs and words of pseudo-code.
 MATH_FONTS = ("CMMI", "CMSY", "CMEX", "MSBM", "EUFM", "CambriaMath", "MTSY", "MTMI", "MTEX", "RMTMI")
@@ -104,6 +105,66 @@ def is_math(font: Column) -> Column:
     return found
 
 
+def _chains(rows: list) -> list[list]:
+    """Chains of a column's spans, sorted by y0, x0 and i, as [y0, x0, math, math_chars, chars, box]."""
+    bands: list[list] = []
+    far = None
+    for r in rows:
+        if far is None or r.y0 >= far:
+            bands.append([])
+        far = r.y1 if far is None else max(far, r.y1)
+        bands[-1].append(r)
+    out: list[list] = []
+    for band in bands:
+        end = None
+        for r in sorted(band, key=lambda r: (r.x0, r.i)):
+            if end is None or r.x0 - end > 24:
+                out.append([0.0, 0.0, 0, 0, 0, (r.x0, r.y0, r.x1, r.y1)])
+            c = out[-1]
+            c[2], c[3], c[4], c[5] = c[2] + r.m, c[3] + r.m * r.n, c[4] + r.n, _union(c[5], (r.x0, r.y0, r.x1, r.y1))
+            end = r.x1 if end is None else max(end, r.x1)
+    for c in out:
+        c[0], c[1] = c[5][1], c[5][0]
+    return sorted(out)
+
+
+def _union(a: tuple, b: tuple) -> tuple:
+    return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
+
+
+def _shared(a: tuple, b: tuple) -> float:
+    return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+
+
+def _formulas(rows: list) -> list[tuple]:
+    """Formulas of a page from its spans, sorted by col, y0, x0 and i."""
+    if not any(r.m for r in rows):
+        return []
+    kept: list[tuple] = []
+    for col, own in groupby(rows, key=attrgetter("col")):
+        own, runs = list(own), []
+        for _, _, math, math_chars, chars, box in _chains([r for r in own if r.shown]):
+            if runs:
+                p = runs[-1]
+                shared, step = min(p[3][2], box[2]) - max(p[3][0], box[0]), box[1] - p[3][3]
+                narrow = min(p[3][2] - p[3][0], box[2] - box[0])
+                if shared > 0.35 * narrow and -12 <= step <= 8 and p[1] + math_chars >= 0.5 * (p[2] + chars):
+                    runs[-1] = (p[0] + math, p[1] + math_chars, p[2] + chars, _union(p[3], box))
+                    continue
+            runs.append((math, math_chars, chars, box))
+        numbers = [r for r in own if r.number and col is not None]
+        for math, math_chars, chars, (x0, y0, x1, y1) in runs:
+            low, ratio = y1 - y0 < 13, math_chars / chars
+            if not (math >= 3 and ratio >= 0.5 if low else math >= 2 and ratio >= 0.22):
+                continue
+            x0, y0, x1, y1 = x0 - 2, y0 - 2, x1 + 2, y1 + 2
+            beside = [r.x1 + 2 for r in numbers if x1 - 4 <= r.x0 <= x1 + 110 and min(y1, r.y1) > max(y0, r.y0)]
+            box = (x0, y0, max([x1, *beside]), y1)
+            if not any(_shared(k[2], box) > 0.3 * ((box[2] - x0) * (y1 - y0)) for k in kept):
+                kept.append((col, not low, box))
+    return [(rows[0].doc_id, rows[0].pno, col, k, display, *box) for k, (col, display, box) in enumerate(kept)]
+
+
 def display_formulas(spans: DataFrame) -> DataFrame:
     """Formulas of each column, (page, col, formula, display, bbox), from spans (page, col, i, text, font, bbox).
 
@@ -111,40 +172,15 @@ def display_formulas(spans: DataFrame) -> DataFrame:
     35 % of the narrower width, are 12 points over to 8 under each other, and half of their characters are in math fonts.
     Low ones (under 13 points) count with three such spans and half of the characters, others with two and 0.22; only those
     are displayed by themselves. A number "(n)" at most 110 points to the right at the same height belongs to its formula. A
-    formula that an earlier one covers by 30 % goes. A page without math fonts has none.
+    formula that an earlier one covers by 30 % goes. A page without math fonts has none; a null font is
+    none of them. A fold over one page.
     """
-    b, col = F.col("bbox"), [*PAGE, "col"]
-    math = is_math(F.col("font"))
-    rows = spans.where(F.length(F.trim("text")) > 0).withColumn("m", math.cast("int")).withColumn("n", F.length("text"))
-    number = F.trim("text").rlike(r"^\(\d+\)$")
-    before = Window.partitionBy(*col).orderBy(b.y0, b.x0, "i").rowsBetween(Window.unboundedPreceding, -1)
-    far = F.max(b.y1).over(before)
-    rows = rows.withColumn("new", F.coalesce((b.y0 >= far).cast("int"), F.lit(1))).withColumn("band", F.sum("new").over(Window.partitionBy(*col).orderBy(b.y0, b.x0, "i").rowsBetween(Window.unboundedPreceding, 0)))
-    across = Window.partitionBy(*col, "band").orderBy(b.x0, "i").rowsBetween(Window.unboundedPreceding, -1)
-    gap = b.x0 - F.max(b.x1).over(across)
-    rows = rows.withColumn("new", F.coalesce((gap > 24).cast("int"), F.lit(1))).withColumn("chain", F.sum("new").over(Window.partitionBy(*col, "band").orderBy(b.x0, "i").rowsBetween(Window.unboundedPreceding, 0)))
-    chains = rows.groupBy(*col, "band", "chain").agg(geom.bbox(b).alias("bbox"), F.sum("m").alias("math"), F.sum(F.col("m") * F.col("n")).alias("math_chars"), F.sum("n").alias("chars"))
-    chains = chains.withColumn("y0", b.y0).withColumn("x0", b.x0)
-
-    def goes_on(p: Column, x: Column) -> Column:
-        shared = F.least(p.bbox.x1, x.bbox.x1) - F.greatest(p.bbox.x0, x.bbox.x0)
-        step = x.bbox.y0 - p.bbox.y1
-        return (shared > 0.35 * F.least(p.bbox.x1 - p.bbox.x0, x.bbox.x1 - x.bbox.x0)) & step.between(-12, 8) & (p.math_chars + x.math_chars >= 0.5 * (p.chars + x.chars))
-
-    runs = running_unions(chains, col, ["y0", "x0"], ["math", "math_chars", "chars"], goes_on, sums=["math", "math_chars", "chars"])
-    found = runs.groupBy(*col, "run").agg(geom.bbox(b).alias("bbox"), F.sum("math").alias("math"), F.sum("math_chars").alias("math_chars"), F.sum("chars").alias("chars"))
-    low, ratio = b.y1 - b.y0 < 13, F.col("math_chars") / F.col("chars")
-    found = found.where(F.when(low, (F.col("math") >= 3) & (ratio >= 0.5)).otherwise((F.col("math") >= 2) & (ratio >= 0.22)))
-    found = found.withColumn("display", ~low).withColumn("bbox", geom.rect(b.x0 - 2, b.y0 - 2, b.x1 + 2, b.y1 + 2))
-    numbers = spans.where(number).select(*col, F.col("bbox").alias("nb"))
-    n = F.col("nb")
-    right = found.join(numbers, col).where((n.x0 >= b.x1 - 4) & (n.x0 <= b.x1 + 110) & (geom.shared_height(b, n) > 0)).groupBy(*col, "run").agg(F.max(n.x1).alias("far"))
-    found = found.join(right, [*col, "run"], "left").withColumn("bbox", F.when(F.col("far").isNull(), b).otherwise(geom.rect(b.x0, b.y0, F.greatest(b.x1, F.col("far") + 2), b.y1)))
-    kept = found.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("col", "run", "display", "bbox"))).alias("fs"))
-    kind = kept.schema["fs"].dataType.simpleString()
-    covered = lambda a, x: F.exists(a, lambda k: geom.shared_area(k.bbox, x.bbox) > 0.3 * geom.area(x.bbox))
-    kept = kept.select(*PAGE, F.aggregate("fs", F.array().cast(kind), lambda a, x: F.when(covered(a, x), a).otherwise(F.array_append(a, x))).alias("fs"))
-    return kept.select(*PAGE, F.posexplode("fs").alias("formula", "f")).select(*PAGE, "f.col", "formula", "f.display", "f.bbox")
+    edges = (F.col("bbox")[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))
+    text, math = F.trim("text"), F.coalesce(is_math(F.col("font")).cast("int"), F.lit(0))
+    flat = spans.select(*PAGE, "col", "i", *edges, (F.length(text) > 0).alias("shown"), text.rlike(r"^\(\d+\)$").alias("number"), math.alias("m"), F.length("text").alias("n"))
+    kinds = ", ".join(f"{c} {spans.schema[c].dataType.simpleString()}" for c in (*PAGE, "col"))
+    out = fold_groups(flat, PAGE, ["col", "y0", "x0", "i"], _formulas, f"{kinds}, formula int, display boolean, x0 double, y0 double, x1 double, y1 double")
+    return out.select(*PAGE, "col", "formula", "display", geom.rect(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("bbox"))
 
 
 def looks_like_code(text: Column) -> Column:
