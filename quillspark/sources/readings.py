@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.geom import bbox, rect
+from quillspark.functions.geom import rect
+from quillspark.operators.folds import fold_groups, runs_of
 
 READING = "x0 double, y0 double, x1 double, y1 double, text string, score double"
 
@@ -21,15 +26,54 @@ def in_points(readings: DataFrame, dpi: int, width: Column, height: Column) -> D
     return readings.withColumn("bbox", box).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score"))).drop("x0", "y0", "x1", "y1")
 
 
+def _joined(keys: list[str]):
+    """Runs of words of one line in a batch as one row: the words with blanks between them, their lengths and left edges, box, sum and count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = runs_of(batch, keys)
+            offsets = pa.array(np.append(starts, len(batch)).astype(np.int32))
+            of = lambda a: pa.ListArray.from_arrays(offsets, a)
+            number = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            least = lambda f, c: pa.array(f.reduceat(number(c), starts) if len(starts) else np.zeros(0), from_pandas=True)
+            word, left = batch.column("text"), pc.fill_null(batch.column("left"), -np.inf)
+            out = {c: batch.column(c).take(pa.array(starts)) for c in keys}
+            out |= {"text": pc.binary_join(of(word), " "), "lens": of(pc.utf8_length(word)), "lefts": of(left)}
+            out |= {"x0": least(np.fmin, "x0"), "y0": least(np.fmin, "y0"), "x1": least(np.fmax, "x1"), "y1": least(np.fmax, "y1"), "conf": least(np.add, "conf"), "n": pa.array(np.diff(np.append(starts, len(batch))))}
+            yield pa.record_batch(list(out.values()), list(out))
+
+    return run
+
+
+def _line(n: int):
+    def run(runs: list) -> list[tuple]:
+        text, lefts = runs[0].text, runs[0].lefts
+        if len(runs) > 1 or any(a >= b for a, b in pairwise(lefts)):
+            words = []
+            for r in runs:
+                at = [0, *accumulate(k + 1 for k in r.lens)]
+                words += zip(r.lefts, (r.text[i : i + k] for i, k in zip(at, r.lens, strict=False)), strict=True)
+            text = " ".join(w for _, w in sorted(words))
+        box = (f((x for r in runs if (x := r[i]) == x), default=None) for f, i in ((min, n + 3), (min, n + 4), (max, n + 5), (max, n + 6)))
+        return [(*runs[0][:n], text, *box, sum(r.conf for r in runs) / sum(r.n for r in runs) / 100)]
+
+    return run
+
+
 def words_to_lines(words: DataFrame, page: list[str]) -> DataFrame:
     """Words (page, block, par, line, left, top, width, height, text, conf) as lines; blank and unsure (negative) ones go.
 
-    A line's text goes by the words' left edges, its score is the mean confidence in hundredths.
+    A line's text goes by the words' left edges, its score is the mean confidence in hundredths. Words of a line that come
+    one after another are joined before they are dealt by line; a line's parts are put in order then.
     """
-    good = words.where((F.length(F.trim("text")) > 0) & (F.col("conf") >= 0))
+    good, keys = words.where((F.length(F.trim("text")) > 0) & (F.col("conf") >= 0)), [*page, "block", "par", "line"]
     box = rect(F.col("left"), F.col("top"), F.col("left") + F.col("width"), F.col("top") + F.col("height"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", F.trim("text").alias("text")))), lambda x: x.text), " ")
-    return good.withColumn("box", box).groupBy(*page, "block", "par", "line").agg(text.alias("text"), bbox(F.col("box")).alias("bbox"), (F.avg("conf") / 100).alias("score"))
+    flat = good.select(*keys, F.col("left").cast("double").alias("left"), F.trim("text").alias("text"), F.col("conf").cast("double").alias("conf"), box.alias("b")).select(*keys, "left", "text", "conf", "b.*")
+    kinds = ", ".join(f"{c} {words.schema[c].dataType.simpleString()}" for c in keys)
+    corners = "x0 double, y0 double, x1 double, y1 double"
+    runs = flat.mapInArrow(_joined(keys), f"{kinds}, text string, lens array<int>, lefts array<double>, {corners}, conf double, n bigint")
+    out = fold_groups(runs, keys, [], _line(len(keys)), f"{kinds}, text string, {corners}, score double")
+    return out.select(*keys, "text", rect(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("bbox"), "score")
 
 
 def _corners(points) -> tuple[float, float, float, float]:
