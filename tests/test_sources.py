@@ -201,3 +201,19 @@ def test_list_labels(spark):
     df = spark.createDataFrame(list(rows.items()), "t string, want string")
     assert df.where(F.regexp_replace("t", T.LIST_LABEL, "") != F.col("want")).collect() == []
     assert [r.t for r in df.where(~F.col("t").rlike(T.LIST_ITEM)).collect()] == ["plain", "12 seven"]
+
+
+def test_words_are_not_dealt_one_by_one(spark):
+    """Words get their boxes without an exchange; sides are of lines, and parts of a line that stand apart are put in order."""
+    lines = spark.createDataFrame([(1, 0, 0, "a  bc d", (10.0, 0.0, 50.0, 9.0)), (1, 0, 1, None, (10.0, 0.0, 50.0, 9.0)), (1, 0, 2, "  ", (0.0, 0.0, 5.0, 9.0))], "doc_id long, pno int, pi int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    words = splits.page_words(lines)
+    assert [(r.pi, r.wi, r.word, r.bbox.x0, r.bbox.x1) for r in words.orderBy("pi", "wi").collect()] == [(0, 0, "a", 10.0, 15.0), (0, 1, "bc", 20.0, 30.0), (0, 2, "d", 35.0, 40.0)]
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+    sides = splits.split_crossing(words, F.lit(612.0), F.lit(306.0))
+    assert "Join" not in sides._jdf.queryExecution().executedPlan().toString()
+    assert [(r.side, r.n_words, r.n_lines) for r in sides.collect()] == [(None, 3, 1)]
+    read = [(1, 0, 0, 0, 0, x, 0, 8, 9, t, c) for x, t, c in ((30, " c ", 50), (10, "a", 100), (20, "b d", 0), (40, " ", 90), (50, "x", -1))]
+    df = spark.createDataFrame([*read[:2], (1, 0, 0, 0, 1, 5, 0, 8, 9, "other", 70), *read[2:]], "doc_id long, pno int, block int, par int, line int, left int, top int, width int, height int, text string, conf int")
+    got = readings.words_to_lines(df.coalesce(1), ["doc_id", "pno"])
+    assert [(r.line, r.text, r.bbox.x0, r.bbox.x1, round(r.score, 6)) for r in got.orderBy("line").collect()] == [(0, "a b d c", 10.0, 38.0, 0.5), (1, "other", 5.0, 13.0, 0.7)]
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
