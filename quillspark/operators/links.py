@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,27 @@ def link_records(links: DataFrame) -> DataFrame:
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def solid(text: Column) -> Column:
-    """Positions (from 1) of a text's characters other than white space; linear in the text."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    return F.filter(F.transform(chars, lambda c, i: F.when(F.instr(F.lit(WHITE), c) == 0, i + 1)), lambda i: i.isNotNull())
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def places(text: Column, first: Column, last: Column) -> Column:
+    """Span (s, e) from 0 of a text's characters ``first`` to ``last`` (from 1) other than white space.
+
+    A fold over runs of white space and of others, so there is a step for each word and none for each character.
+    """
+    kind = "struct<at:int,n:int,s:int,e:int>"
+
+    def step(a: Column, run: Column) -> Column:
+        size, solid = F.length(run), F.instr(F.lit(WHITE), F.substr(run, F.lit(1), F.lit(1))) == 0
+        hit = lambda k: solid & (a.n < k) & (a.n + size >= k)
+        s, e = F.when(hit(first), a["at"] + first - a.n - 1).otherwise(a.s), F.when(hit(last), a["at"] + last - a.n).otherwise(a.e)
+        return F.struct((a["at"] + size).alias("at"), (a.n + F.when(solid, size).otherwise(0)).alias("n"), s.alias("s"), e.alias("e")).cast(kind)
+
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), none.alias("s"), none.alias("e")).cast(kind)
+    return F.aggregate(F.regexp_extract_all(text, F.lit(r"(?U)\s+|\S+"), F.lit(0)), start, step, lambda a: F.struct(a.s.alias("s"), a.e.alias("e")))
 
 
 def without_space(text: Column) -> Column:
@@ -41,13 +60,13 @@ def find_loose(text: Column, pattern: Column, start: Column) -> Column:
     The search begins at position ``start`` of the text and, if nothing follows, at its head; null where it finds nothing
     or where text or pattern is empty.
     """
-    flat, wanted = without_space(text), without_space(pattern)
     skipped = F.length(F.regexp_replace(F.substr(text, F.lit(1), start), r"(?U)\s+", ""))
-    later = F.call_function("locate", wanted, flat, skipped + 1)
-    at = F.when(later > 0, later).otherwise(F.call_function("locate", wanted, flat, F.lit(1)))
-    places = solid(text)
-    ok = (F.length(text) > 0) & (F.length(pattern) > 0) & (F.length(wanted) > 0) & (at > 0)
-    return F.when(ok, F.struct((F.get(places, at - 1) - 1).alias("s"), F.get(places, at + F.length(wanted) - 2).alias("e")))
+    locate = lambda x, begin: F.call_function("locate", x.wanted, x.flat, begin)
+    parts = F.struct(without_space(text).alias("flat"), without_space(pattern).alias("wanted"), skipped.alias("skipped"))
+    found = lambda x: let(locate(x, x.skipped + 1), lambda later: F.when(later > 0, later).otherwise(locate(x, F.lit(1))))
+    spot = lambda x: let(found(x), lambda at: F.when((F.length(x.wanted) > 0) & (at > 0), F.struct(at.alias("first"), (at + F.length(x.wanted) - 1).alias("last"))))
+    span = let(let(parts, spot), lambda x: F.when(x.isNotNull(), places(text, x["first"], x["last"])))
+    return F.when((F.length(text) > 0) & (F.length(pattern) > 0), span)
 
 
 def escape(text: Column) -> Column:

@@ -217,3 +217,13 @@ def test_words_are_not_dealt_one_by_one(spark):
     got = readings.words_to_lines(df.coalesce(1), ["doc_id", "pno"])
     assert [(r.line, r.text, r.bbox.x0, r.bbox.x1, round(r.score, 6)) for r in got.orderBy("line").collect()] == [(0, "a b d c", 10.0, 38.0, 0.5), (1, "other", 5.0, 13.0, 0.7)]
     assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_loose_find_steps_by_word(spark):
+    """Places are counted by runs, not by an array of a text's characters, and each step is made once."""
+    text = "\x85 ab 　c d\U0001f600e\x0b f" * 50
+    rows = spark.createDataFrame([(text, "d \U0001f600", 0), (text, "b c", 700), (text, "\x0bf\x85 a", 3), (text, "f" + text, 0)], "t string, p string, s int")
+    df = rows.select(links.find_loose(F.col("t"), F.col("p"), F.col("s")).alias("x"))
+    assert [tuple(r.x) if r.x else None for r in df.collect()] == [(8, 10), (3, 7), (13, 17), None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?s)." not in plan and plan.count("regexp_extract_all") == 1
