@@ -53,3 +53,18 @@ def test_anchor_split_of_equal_items_and_null_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, pno int, tbl int, band int, x0 double, x1 double, text string")
     got = [(r.band, r.cell, r.text, r.conf) for r in tables.anchor_split(df).orderBy("band", "cell").collect()]
     assert got == [(0, 0, "a a", 0.9), (0, 1, "b", 0.9), (1, 0, "", 0.9), (1, 1, "d", 0.9), (2, 0, "e", 0.7), (2, 1, "f", 0.7)]
+
+
+def test_translation_looks_up_once_and_keeps_odd_units(spark):
+    """Equal units, null texts and null documents stay; the cache is looked up once, and its join is no part of the results."""
+    from quillspark.sources.files import Settings
+    from quillspark.translate import translate_units
+
+    rows = spark.createDataFrame([(1, 0, None), (1, 1, "a"), (1, 1, "a"), (1, 2, ""), (1, 3, "b"), (2, 0, "b"), (None, 0, "a"), (None, 1, "c")], "doc long, i int, text string")
+    settings = Settings(provider="m", batch_size=2, batch_chars=0, max_calls=9)
+    cache = spark.createDataFrame([("c", "C")], "text string, dst string").select(T.cache_key("x", "m", settings.source, settings.target, F.col("text")).alias("k"), "dst")
+    done = translate_units(rows, cache, lambda units, attempt: units.select("id", F.concat(F.lit(">"), "text").alias("dst")), settings)
+    got = sorted((repr(r.doc), r.i, r.text, r.dst, r.origin) for r in done.results.where("text is not null").collect())
+    assert got == [("1", 1, "a", ">a", "call"), ("1", 1, "a", ">a", "call"), ("1", 2, "", ">", "call"), ("1", 3, "b", ">b", "call"), ("2", 0, "b", ">b", "call"), ("None", 0, "a", "a", "source"), ("None", 1, "c", "C", "cache")]
+    assert done.results.count() == 8 and sorted((r.src, r.dst) for r in done.cache.collect()) == [("", ">"), ("a", ">a"), ("b", ">b")]
+    assert "__d0" not in done.results._jdf.queryExecution().optimizedPlan().toString()
